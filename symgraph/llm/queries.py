@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import ngram_join
+from symgraph.llm import ngram_join, suffix_dedup
 from symgraph.llm.tables import read
 
 #: Words as the operators cut them: maximal runs of characters other than ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\t\n\x0b\x0c\r ]+'), x -> x <> '')"
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+
+
+_OP6 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT doc_id, unnest(list_transform(range(0, len(ws) - 49), s -> {{'s': s, 'k': md5(array_to_string(ws[s + 1:s + 50], ' '))}})) AS x FROM w WHERE len(ws) >= 50),
+r AS (SELECT doc_id, x.s AS s, count(*) OVER (PARTITION BY x.k) AS n, row_number() OVER (PARTITION BY x.k ORDER BY doc_id, x.s) AS rn FROM u),
+c AS (SELECT doc_id, s, rn > 1 AS copy FROM r WHERE n > 1),
+i AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, copy ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM c),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, copy ORDER BY s) AS island FROM i)
+SELECT doc_id, CAST(min(s) AS INTEGER) AS start_word, CAST(max(s) + 50 AS INTEGER) AS end_word, copy FROM g GROUP BY doc_id, copy, island
+"""
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(read(spark, sf_dir, "documents"))
 
@@ -31,9 +46,11 @@ UNION ALL SELECT rep, doc_id, CAST(1 AS DOUBLE) FROM r WHERE rep <> doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_suffix_array_dedup": _OP6,
     "op7_ngram_jaccard_join": _OP7,
 }
