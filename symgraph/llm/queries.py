@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import ngram_join, suffix_dedup
+from symgraph.llm import ngram_join, suffix_dedup, toxicity
 from symgraph.llm.tables import read
 
 #: Words as the operators cut them: maximal runs of characters other than ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\t\n\x0b\x0c\r ]+'), x -> x <> '')"
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.toxic_scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ UNION ALL SELECT rep, doc_id, CAST(1 AS DOUBLE) FROM r WHERE rep <> doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
