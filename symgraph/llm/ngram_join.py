@@ -27,7 +27,7 @@ from symgraph.llm import kernels as K
 from symgraph.llm.tables import cut, texts
 
 N, THRESHOLD, PREFIX, BLOCK = 3, 0.5, 12, 512
-LIST_ROWS = 20_000
+LIST_ROWS, MOST_GRAMS = 20_000, 1_000_000
 
 
 def gram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +151,22 @@ def overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     """The overlaps of the pairs ``wanted`` (rows of two set numbers), each set's answers derived from the pivot's.
 
     The pivot is the largest set. Postings say which sets hold a gram; a set's answers are the pivot's, less the postings of
-    grams that only the pivot has, plus those of grams that only the set has.
+    grams that only the pivot has, plus those of grams that only the set has. Many long sets are taken by ranges of their grams,
+    whose overlaps add up, so that memory stays bounded.
     """
     sizes = np.array([len(s) for s in sets])
     if len(wanted) <= 3:
         return np.array([len(np.intersect1d(sets[i], sets[j], True)) for i, j in wanted], np.int64)
+    if sizes.sum() > MOST_GRAMS and sizes.max() > 1:
+        bounds = np.linspace(0, 1 << 32, -(-int(sizes.sum()) // MOST_GRAMS) + 1).astype(np.int64)[1:-1]
+        cuts = [np.searchsorted(s, bounds) for s in sets]
+        parts = zip(*(np.split(s, c) for s, c in zip(sets, cuts, strict=True)), strict=True)
+        return sum(_overlaps(list(p), wanted) for p in parts)
+    return _overlaps(sets, wanted)
+
+
+def _overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    sizes = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     grams, number, count = np.unique(every, return_inverse=True, return_counts=True)
@@ -171,7 +182,7 @@ def overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     order = np.lexsort((wanted[:, 1], wanted[:, 0]))
     out = np.zeros(len(wanted), np.int64)
     firsts, begin = np.unique(wanted[order, 0], return_index=True)
-    step = max(1, 64_000_000 // max(1, width))
+    step = max(1, 32_000_000 // max(1, width))
     for c in range(0, len(sets), step):  # columns of the postings, so that many long sets don't fill the memory
         postings = np.zeros((width, min(step, len(sets) - c)), np.uint8)
         mine = (owner >= c) & (owner < c + step)
@@ -196,7 +207,7 @@ def overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in K.whole_groups(batches, "token", 2_000):
+    for b in K.whole_groups(batches, "token"):
         token, a, other = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         is_set = np.asarray(b.column(3).is_valid())
         raw, offsets = K.column_bytes(b.column(3))

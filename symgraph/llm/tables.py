@@ -52,8 +52,16 @@ def only(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch, for a row may hold a long text: batches of 10,000 such rows would fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     """(doc_id bigint, text string), without rows whose id or text is null."""
+    small_batches(docs.sparkSession)
     text = F.col("text") if text is None else text
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull()
