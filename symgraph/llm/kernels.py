@@ -112,6 +112,20 @@ def power_of(n: int) -> np.uint64:
     return power_table(n + 1)[n]
 
 
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes, and each row's first one (len(offsets) entries)."""
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    head = raw[lead].astype(np.int32)
+    if len(lead) == len(raw):
+        return head, offsets
+    width = np.diff(np.append(lead, len(raw)))
+    code = np.where(width == 1, head, head & (0xFF >> (width + 1)))
+    for k in range(1, 4):
+        more = np.flatnonzero(width > k)
+        code[more] = code[more] << 6 | (raw[lead[more] + k] & 0x3F)
+    return code, np.searchsorted(lead, offsets)
+
+
 def row_of(first: np.ndarray, n: int) -> np.ndarray:
     """The row of each of n words."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first)) if n else np.zeros(0, np.int64)

@@ -5,12 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from symgraph.llm import ngram_join, suffix_dedup, toxicity
+from symgraph.llm import fingerprints, knn, mixing, ngram_join, pieces, suffix_dedup, toxicity, urls, warc, wrappers
 from symgraph.llm.tables import read
 
 #: Words as the operators cut them: maximal runs of characters other than ASCII white space.
-_WORDS = r"list_filter(regexp_split_to_array({0}, '[\t\n\x0b\x0c\r ]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\t\n\x0b\x0c\r ]+'), lambda x: x <> '')"
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_scores(read(spark, sf_dir, "pages"), urls.seed_model())
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+_HASH = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_reverse(cs)), lambda h, c: (h * {1} + c) % {0})"
+_OP2 = f"""
+WITH d AS (SELECT doc_id, text, substring(text, 1, 64) AS opening,
+        CASE WHEN text = '' THEN CAST([] AS BIGINT[]) ELSE list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT)) END AS cs
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT opening, doc_id AS leader, cs AS lead FROM d QUALIFY row_number() OVER (PARTITION BY opening ORDER BY doc_id, text) = 1)
+SELECT doc_id, CAST(len(cs) AS BIGINT) AS n, {_HASH.format(fingerprints.PRIMES[0], fingerprints.BASES[0])} * 2147483648 + {_HASH.format(fingerprints.PRIMES[1], fingerprints.BASES[1])} AS fingerprint,
+    leader, CAST(CASE WHEN cs = lead THEN len(cs) ELSE coalesce(list_position(list_transform(list_zip(cs, lead), lambda x: x[1] IS DISTINCT FROM x[2]), true) - 1, least(len(cs), len(lead))) END AS BIGINT) AS common
+FROM d JOIN l USING (opening)
+"""
+
+
+def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(read(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 4))
+
+
+_OP3 = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS INTEGER) AS rank, neighbour, round(d, 4) AS distance FROM p
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) <= 10
+"""
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +51,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(read(spark, sf_dir, "pages"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
 
 
 _OP6 = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-u AS (SELECT doc_id, unnest(list_transform(range(0, len(ws) - 49), s -> {{'s': s, 'k': md5(array_to_string(ws[s + 1:s + 50], ' '))}})) AS x FROM w WHERE len(ws) >= 50),
+u AS (SELECT doc_id, unnest(list_transform(range(0, len(ws) - 49), lambda s: {{'s': s, 'k': md5(array_to_string(ws[s + 1:s + 50], ' '))}})) AS x FROM w WHERE len(ws) >= 50),
 r AS (SELECT doc_id, x.s AS s, count(*) OVER (PARTITION BY x.k) AS n, row_number() OVER (PARTITION BY x.k ORDER BY doc_id, x.s) AS rn FROM u),
 c AS (SELECT doc_id, s, rn > 1 AS copy FROM r WHERE n > 1),
 i AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, copy ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM c),
@@ -40,7 +77,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP7 = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("lower(text)")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS gram FROM w WHERE len(ws) > 0),
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS gram FROM w WHERE len(ws) > 0),
 s AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS fp FROM g GROUP BY doc_id),
 r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY fp) AS rep FROM s),
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)
@@ -50,13 +87,44 @@ WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= 0.5
 UNION ALL SELECT rep, doc_id, CAST(1 AS DOUBLE) FROM r WHERE rep <> doc_id
 """
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the payload's bytes, for the digests stand for them."""
+    return warc.chunk_table(read(spark, sf_dir, "pages")).drop("payload")
+
+
+_OP8 = f"""
+WITH p AS (SELECT page_id, url, hex(encode(coalesce(html, ''))) AS h FROM pages),
+c AS (SELECT *, unnest(range(0, greatest(1, (len(h) // 2 + {warc.CHUNK - 1}) // {warc.CHUNK}))) AS i FROM p)
+SELECT page_id, url, CAST(i AS INTEGER) AS chunk_no, i * {warc.CHUNK} AS start, CAST(least({warc.CHUNK}, len(h) // 2 - i * {warc.CHUNK}) AS INTEGER) AS n_bytes,
+    sha256(unhex(h[:2 * {warc.CHUNK} * (i + 1)])) AS digest, (i + 1) * {warc.CHUNK} >= len(h) // 2 AS last FROM c
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_blocks(read(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_knn": op3_knn,
     "op4_toxicity": op4_toxicity,
+    "op5_html_extraction": op5_html_extraction,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_warc": op8_warc,
+    "op9_mixing": op9_mixing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_fingerprints": _OP2,
+    "op3_knn": _OP3,
     "op6_suffix_array_dedup": _OP6,
     "op7_ngram_jaccard_join": _OP7,
+    "op8_warc": _OP8,
 }
