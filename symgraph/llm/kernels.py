@@ -5,12 +5,25 @@ A word is a maximal run of bytes other than ASCII white space; offsets count fro
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def _lean() -> None:
+    """Have glibc give large arrays back to the system when they are freed, Arrow's too: a Python worker lives on after its task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+
+
+_lean()
 BASE = U64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
