@@ -27,7 +27,7 @@ from symgraph.llm import kernels as K
 from symgraph.llm.tables import cut, texts
 
 N, THRESHOLD, PREFIX, BLOCK = 3, 0.5, 12, 512
-LIST_ROWS, MOST_GRAMS = 20_000, 1_000_000
+LIST_ROWS, MOST_GRAMS, PAIRS = 20_000, 1_000_000, 200_000
 
 
 def gram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,28 +207,61 @@ def _overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in K.whole_groups(batches, "token"):
-        token, a, other = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        is_set = np.asarray(b.column(3).is_valid())
-        raw, offsets = K.column_bytes(b.column(3))
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        found: list[tuple[np.ndarray, ...]] = []
-        for lo, hi in zip(starts, np.append(starts[1:], len(token)), strict=True):
-            rows = lo + np.flatnonzero(is_set[lo:hi])
-            rows = rows[np.unique(a[rows], return_index=True)[1]]  # sorted by id; a repeated row counts once
-            pairs = lo + np.flatnonzero(~is_set[lo:hi])
-            if not len(pairs) or not len(rows):
-                continue
-            sets = [raw[offsets[r] : offsets[r + 1]].view(np.uint32) for r in rows]
-            x, y = np.searchsorted(a[rows], a[pairs]), np.searchsorted(a[rows], other[pairs].astype(np.int64))
-            both = overlaps(sets, np.stack([x, y], 1))
+    """Batches sorted by token, a token's sets before its pairs; the pairs, which may be many more, are taken PAIRS at a time."""
+    now: int | None = None
+    held: dict[int, np.ndarray] = {}
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
+    count = rows = 0
+
+    def judge() -> None:
+        nonlocal count, rows
+        if waiting and held:
+            p, q = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            ids = np.unique(np.append(p, q))
+            x, y = np.searchsorted(ids, p), np.searchsorted(ids, q)
+            sets = [held[i] for i in ids.tolist()]
             sizes = np.array([len(s) for s in sets])
+            both = overlaps(sets, np.stack([x, y], 1))
             j = both / (sizes[x] + sizes[y] - both)
             ok = j >= threshold - 1e-12
-            found.append((a[pairs][ok], other[pairs][ok].astype(np.int64), j[ok]))
-        if found:
-            p, q, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(q), pa.array(j)], names=["doc_a", "doc_b", "jaccard"])
+            found.append((p[ok], q[ok], j[ok]))
+            rows += int(ok.sum())
+        waiting.clear()
+        count = 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal rows
+        p, q, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        rows = 0
+        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(j)], names=["doc_a", "doc_b", "jaccard"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        token, a = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        other = b.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        is_set = np.asarray(b.column(3).is_valid())
+        raw, offsets = K.column_bytes(b.column(3))
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(token)).tolist(), strict=True):
+            if token[lo] != now:
+                judge()
+                now, held = int(token[lo]), {}
+            k = lo + int(is_set[lo:hi].sum())
+            for r in range(lo, k):  # a repeated row counts once
+                held[int(a[r])] = raw[offsets[r] : offsets[r + 1]].view(np.uint32).copy()
+            if k < hi:
+                waiting.append((a[k:hi], other[k:hi]))
+                count += hi - k
+                if count >= PAIRS:
+                    judge()
+        if rows >= LIST_ROWS:
+            yield out()
+    judge()
+    if found:
+        yield out()
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, prefix: int = PREFIX) -> DataFrame:
@@ -248,7 +281,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, pre
     asked = pairs.select("token", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = words.mapInArrow(lambda it: _sets(it, n), "doc_id bigint, grams binary")
     sent = asked.hint("shuffle_merge").join(sets, "doc_id").select("token", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    both = sent.unionByName(pairs.withColumn("grams", F.lit(None).cast("binary"))).repartition("token").sortWithinPartitions("token")
+    both = sent.unionByName(pairs.withColumn("grams", F.lit(None).cast("binary"))).repartition("token").sortWithinPartitions("token", F.col("b").asc_nulls_first())
     return both.mapInArrow(lambda it: _verify(it, threshold), "doc_a bigint, doc_b bigint, jaccard double").unionByName(copies).dropDuplicates(["doc_a", "doc_b"])
 
 
