@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import kernels as K
-from symgraph.llm.tables import cut, texts
+from symgraph.llm.tables import cut, fresh, texts
 
 N, THRESHOLD, PREFIX, SHARED, BLOCK = 3, 0.5, 16, 5, 512
 LIST_ROWS, MOST_GRAMS, PAIRS = 20_000, 1_000_000, 200_000
@@ -311,8 +311,9 @@ def keep_first(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, prefix
 
     Rows with null id or text stay; all columns of docs stay. Rows that repeat an id stay or go together.
     """
-    gone = groups(similar_pairs(docs, n, threshold, prefix)).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    of = fresh(docs, "_gone")
+    gone = groups(similar_pairs(docs, n, threshold, prefix)).select(F.col("doc_id").alias(of))
+    return docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
 
 
 __all__ = ["groups", "keep_first", "overlaps", "similar_pairs"]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import kernels as K
-from symgraph.llm.tables import only, texts
+from symgraph.llm.tables import fresh, only, texts
 
 LEAST, GRAM = 50, 16
 
@@ -250,11 +250,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     return spans.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_islands, spans_type)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], named: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.schema.get_field_index("text")
         keep = np.ones(b.num_rows, bool)
-        texts_, spans = b.column(at).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist()
+        texts_, spans = b.column(at).to_pylist(), b.column(b.schema.get_field_index(named)).to_pylist()
         for i, (text, cuts) in enumerate(zip(texts_, spans, strict=True)):
             if not cuts or text is None:
                 continue
@@ -279,9 +279,10 @@ def without_copies(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     a column, is counted anew for changed texts. All columns of docs stay, in their order.
     """
     names = docs.columns
-    cuts = repeated_spans(docs, least, gram).where("copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans")).withColumnRenamed("doc_id", "_of")
-    both = docs.join(cuts, F.col("doc_id") == F.col("_of"), "left").select(*[f"`{n}`" for n in names], "_spans")
-    out = both.mapInArrow(_cut, both.schema)
+    at, of = fresh(docs, "_spans"), fresh(docs, "_of")
+    cuts = repeated_spans(docs, least, gram).where("copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias(at)).withColumnRenamed("doc_id", of)
+    both = docs.join(cuts, F.col("doc_id") == F.col(of), "left").select(*[f"`{n}`" for n in names], at)
+    out = both.mapInArrow(lambda it: _cut(it, at), both.schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return only(out, names)

@@ -53,6 +53,14 @@ def only(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, for a row may hold a long text: batches of 10,000 such rows would fill a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
