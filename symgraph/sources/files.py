@@ -7,7 +7,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,15 +111,14 @@ def python_symbols(path: str, content: str) -> list[dict]:
 
 def extract(sources: DataFrame) -> DataFrame:
     """Rows of (path, content): tag node, edge, ref or error. Python alone is parsed; other files have their file node."""
-    names = [c.split()[0] for c in ROWS.split(", ")]
+    fields = [(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in ROWS.split(", ")]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for path, content in zip(part["path"], part["content"], strict=True):
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 content = content or ""
                 out += python_symbols(path, content) if path.endswith((".py", ".pyi")) else [{"tag": "node", "id": f"file:{path}", "kind": "file", "name": path.rsplit("/", 1)[-1], "qualified_name": path, "file_path": path, "start_line": 1, "end_line": content.count("\n") + 1}]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({c: "Int32" for c in ("start_line", "end_line", "line")})
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], t) for n, t in fields], names=[n for n, _ in fields])
 
-    return sources.select("path", "content").mapInPandas(run, ROWS)
+    return sources.select("path", "content").mapInArrow(run, ROWS)
