@@ -6,9 +6,8 @@ import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from symgraph.functions.names import is_test_file, is_test_node, proximity
+from symgraph.functions.names import dirname, is_test_file, is_test_node, proximity
 from symgraph.operators.graph import steps
 
 BUILTINS = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "open", "super", "isinstance", "sorted", "enumerate", "zip", "map", "filter", "min", "max", "sum", "any", "all")
@@ -24,20 +23,27 @@ def by_exact_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(ref_id, target, method, confidence): of several symbols of a name the best one.
 
     refs: (ref_id, reference_name, reference_kind, file_path, language, line). Best: the same file 100, shared folders up to 80, the same language 50 (another:
-    80 less), a kind that fits 25, exported 10, nearness in the file up to 20; ties go to the first by path and line. The names of the references, not the
-    nodes, are what is shuffled twice; a name with very many symbols is split by adaptive execution.
+    80 less), a kind that fits 25, exported 10, nearness in the file up to 20; ties go to the first by path and line. A reference meets
+    one symbol for each folder and kind of its name, not all that have the name, so an overloaded name doesn't multiply the references.
     """
     n = nodes.where("kind <> 'file' AND kind <> 'import'").select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("reference_name"), F.col("file_path").alias("t_path"), F.col("language").alias("t_language"), "start_line", "is_exported")
-    c = refs.join(n, "reference_name")
+    # what is alike but for its place in a folder can only win by being first there, unless the reference is in its file, which outweighs all else
+    alike = n.groupBy("reference_name", dirname(F.col("t_path")).alias("_dir"), "t_kind", "t_language", "is_exported").agg(F.min(F.struct("t_path", "start_line", "target")).alias("_first"), F.count("*").alias("_n"))
+    total = alike.groupBy("reference_name").agg(F.sum("_n").alias("n"))
+    one_each = alike.select("reference_name", "t_kind", "t_language", "is_exported", "_first.*")
+    within = n.withColumn("file_path", F.col("t_path"))
+    own = refs.join(within, ["reference_name", "file_path"])
+    others = refs.join(within.select("reference_name", "file_path").distinct(), ["reference_name", "file_path"], "left_anti").join(one_each, "reference_name")
+    c = own.select(*others.columns).unionByName(others).join(total, "reference_name")
     same = F.col("file_path") == F.col("t_path")
     fits = F.when((F.col("reference_kind") == "calls") & F.col("t_kind").isin("function", "method"), 25).when(F.col("reference_kind").isin("extends", "implements", "instantiates") & F.col("t_kind").isin("class", "interface", "struct"), 25).otherwise(0)
     near = F.when(same, F.greatest(F.lit(0), 20 - F.floor(F.abs(F.col("line") - F.col("start_line")) / 10))).otherwise(0)
     close = proximity(F.col("file_path"), F.col("t_path"))
     score = F.when(same, 100).otherwise(0) + close + F.when(F.col("language") == F.col("t_language"), 50).otherwise(-80) + fits + F.when(F.col("is_exported"), 10).otherwise(0) + near
-    w = Window.partitionBy("ref_id")
-    c = c.withColumn("score", score).withColumn("near", close).withColumn("n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "t_path", "start_line", "target")))
+    c = c.withColumn("near", close).withColumn("score", score)
+    best = c.groupBy("ref_id", "n", "language").agg(F.min(F.struct((-F.col("score")).alias("_s"), "t_path", "start_line", "target", "t_language", "near")).alias("b")).select("ref_id", "n", "language", "b.*")
     confidence = F.when(F.col("n") == 1, F.when(F.col("language") == F.col("t_language"), 0.9).otherwise(0.5)).otherwise(F.when(F.col("near") >= 30, 0.7).otherwise(0.4))
-    return c.where("_r = 1 AND (n = 1 OR score > -1)").select("ref_id", "target", F.lit("exact-name").alias("method"), confidence.alias("confidence"))
+    return best.where("n = 1 OR _s < 1").select("ref_id", "target", F.lit("exact-name").alias("method"), confidence.alias("confidence"))
 
 
 def fuzzy_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
