@@ -3,13 +3,14 @@
 A page is a stream of tags and texts (scripts, styles and comments are left out, attributes and inline marks don't count). Repeats that
 stand next to one another fold into repeated groups; pages of a host that fold alike are one sample. The host's wrapper starts as one sample and is aligned
 with each other in turn: common tokens stay, what only one side has becomes an optional group, a unit that one side has repeated becomes
-a repeated group, and every text is a slot. Slots whose text is the same on all pages are part of the template. The wrapper is then compiled to a regular
-expression and matched against each page's tokens; what its slots hold are the page's fields, and the fields of slots that hold a large share of the
-host's text make up the page's text.
+a repeated group, and every text is a slot. Slots that several distinct pages fill, all with one text, are part of the template; copies of a page count once.
+The wrapper is then compiled to a regular expression and matched against each page's tokens; what its slots hold are the page's fields, and the fields of
+slots whose texts are long, by themselves or beside the host's longest, make up the page's text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from symgraph.llm.tables import shared_table, small_batches
 
-#: A slot's share of the host's characters from which on it is main text; the wrappers' size up to which they are broadcast.
-SHARE, BROADCAST_BYTES, PERIOD = 0.05, 8 << 20, 8
+#: A slot is main text if its texts have on average this share of the characters of the host's longest ones, or this many; the wrappers' size up to which they are broadcast.
+SHARE, LONG, BROADCAST_BYTES, PERIOD = 0.05, 25, 8 << 20, 8
 TEXT = "#"
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)[^<>]*>|<[!?][^<>]*>")
@@ -56,9 +57,10 @@ def tokens(page: str) -> tuple[list[str], list[str]]:
     return out, texts
 
 
-# A node is a token, ["+", nodes] or ["?", nodes]; beside each list of nodes runs a flat list of its texts' statistics: [characters, lowest, highest].
+# A node is a token, ["+", nodes] or ["?", nodes]; beside each list of nodes runs a flat list of its texts' statistics:
+# [characters, texts, lowest and highest hash of a text, lowest and highest hash of a page that has one].
 def _join(a: list, b: list) -> list:
-    return [[x[0] + y[0], min(x[1], y[1]), max(x[2], y[2])] for x, y in zip(a, b, strict=True)]
+    return [[x[0] + y[0], x[1] + y[1], min(x[2], y[2]), max(x[3], y[3]), min(x[4], y[4]), max(x[5], y[5])] for x, y in zip(a, b, strict=True)]
 
 
 def _slots(node) -> int:
@@ -215,16 +217,16 @@ def _names(nodes: list, into: dict[str, str]) -> dict[str, str]:
 
 
 def infer(samples: list[tuple[list, list[list], int]], share: float = SHARE) -> dict:
-    """A wrapper of samples (nodes, statistics of each node, pages): {nodes, template: slots that never change, main: slots of the text}."""
+    """A wrapper of samples (nodes, statistics of each node, pages): {nodes, template: slots with one text on distinct pages, main: slots of the text}."""
     order = sorted(samples, key=lambda s: (-s[2], json.dumps(s[0])))
     w = Wrapper(order[0][0], order[0][1])
     for nodes, stats, _ in order[1:]:
         w.align(nodes, stats)
     nodes, stats = w.tree()
-    pages = sum(s[2] for s in samples)
-    template = [i for i, s in enumerate(stats) if pages > 1 and s[1] == s[2]]
-    chars = sum(s[0] for i, s in enumerate(stats) if i not in template)
-    main = [i for i, s in enumerate(stats) if i not in template and s[0] >= share * chars]
+    template = [i for i, s in enumerate(stats) if s[2] == s[3] and s[4] != s[5]]
+    length = {i: s[0] / s[1] for i, s in enumerate(stats) if i not in set(template)}
+    least = min(LONG, share * max(length.values(), default=0))
+    main = [i for i, n in length.items() if n >= least]
     return {"nodes": nodes, "template": template, "main": main}
 
 
@@ -241,10 +243,11 @@ def _split(stats: list, nodes: list) -> list[list]:
 def sample(page: str) -> tuple[list, list[list]]:
     toks, texts = tokens(page)
     stats, at = [], 0
+    whole = int.from_bytes(hashlib.blake2b(json.dumps([toks, texts]).encode(), digest_size=7).digest())
     for t in toks:
         if t == TEXT:
             h = zlib.crc32(texts[at].encode())
-            stats.append([[len(texts[at]), h, h]])
+            stats.append([[len(texts[at]), 1, h, h, whole, whole]])
             at += 1
         else:
             stats.append([])
@@ -345,8 +348,8 @@ def extracted(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """(page_id, host, matched, slots, fields, text) for every row of pages.
 
     fields: the texts that the host's wrapper has slots for, with the slots' numbers; text: those of the main slots, a line each. A null html
-    has matched false and nulls; an empty one has no fields; a null url is of the host ''; a page alone on its host has no template; repeated rows
-    are extracted each; an empty table gives an empty result; columns other than page_id, url and html are not looked at. Wrappers are broadcast
+    has matched false and nulls; an empty one has no fields; a null url is of the host ''; a page alone on its host, or with nothing but copies of
+    itself, has no template; repeated rows are extracted each; an empty table gives an empty result; columns other than page_id, url and html are not looked at. Wrappers are broadcast
     only if they are smaller than ``BROADCAST_BYTES`` in all, else joined by host.
     """
     spark = pages.sparkSession

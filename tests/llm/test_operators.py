@@ -225,6 +225,23 @@ def test_wrappers(spark):
     assert wrappers.extracted(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_wrappers_lose_no_text(spark):
+    long = [prose(2000 + i, 30) for i in range(30)]
+    many = lambda k: "".join(f"<h{1 + i % 6}>{long[(i + k) % 30]}</h{1 + i % 6}><hr>" + f"<x{i}>" for i in range(30))
+    data = [(1, "https://one.example/", f"<p>{long[0]}</p><p>All rights</p>"), (2, "https://one.example/2", f"<p>{long[1]}</p><ul><li>{long[2]}</li></ul><p>All rights</p>")]
+    data += [(k, "https://copies.example/", f"<p>{long[3]}</p>") for k in (3, 4, 5)]
+    data += [(6, "https://empty.example/", ""), (7, "https://empty.example/2", "no tags < at all"), (8, "https://many.example/", many(0)), (9, "https://many.example/2", many(1))]
+    data += [(k, "https://template.example/", f"<div>All rights</div><p>{long[k]}</p>") for k in (10, 11, 11)]
+    got = collections.defaultdict(list)
+    for r in wrappers.extracted(spark.createDataFrame(data, "page_id bigint, url string, html string")).collect():
+        got[r.page_id].append(r)
+    assert long[2] in got[2][0].fields and long[2] in got[2][0].text.split("\n")  # an optional group that one page fills
+    assert all(got[k][0].text == long[3] for k in (3, 4, 5))  # copies alone make no template
+    assert got[6][0].fields == [] and got[7][0].fields == ["no tags < at all"] and got[7][0].text == "no tags < at all"
+    assert sorted(got[8][0].text.split("\n")) == sorted(got[9][0].text.split("\n")) == sorted(long)  # thirty slots of a thirtieth each
+    assert all(r.fields == [long[k]] and r.text == long[k] for k in (10, 11) for r in got[k])
+
+
 def test_warc(spark):
     data = [(1, "http://a/", "x" * 100), (2, "http://b/\r\n", "é" * 40), (3, None, ""), (4, "u", None), (None, "n", "WARC/1.0\r\n\r\n"), (1, "http://a/", "x" * 100), (5, "big", prose(1, 60_000))]
     table = warc.chunk_table(spark.createDataFrame([(*d, 1) for d in data], "page_id bigint, url string, html string, chunk_no int"), chunk=64)
