@@ -87,8 +87,8 @@ def impact(edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
         frontier = level.select("id").join(hop, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
 
 
-def path(edges: DataFrame, start: str, end: str, kinds: tuple[str, ...] = (), most: int = 32) -> DataFrame:
-    """(step, id): a shortest way by outgoing edges, of equal ones that with the lowest predecessors; no rows where there is none."""
+def path(edges: DataFrame, start: str, end: str, kinds: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """(step, id): a shortest way by outgoing edges, however long (or of up to ``most`` steps), of equal ones that with the lowest predecessors; no rows where there is none."""
     spark = edges.sparkSession
     reached = levels(edges, one(edges, start), "outgoing", kinds, most)
     reached = cut(reached)
@@ -138,25 +138,58 @@ def file_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(of.select(F.col("id").alias("target"), F.col("file_path").alias("b")), "target").where("a <> b").select("a", "b").distinct()
 
 
-def circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(cycle): import cycles of up to ``longest`` files, each once, from its lowest file on. Files on no cycle are peeled off first."""
+def _on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b): file imports, those to and from files that can be on no cycle peeled off."""
     e = cut(file_imports(nodes, edges))
     n = e.count()
     while True:
         e = cut(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
         if (m := e.count()) == n:
-            break
+            return e
         n = m
+
+
+def _short_cycles(e: DataFrame, longest: int) -> DataFrame:
+    """(walk): cycles of up to ``longest`` files, each once, from its lowest file on."""
     walks = e.where("a < b").select(F.array("a", "b").alias("walk"), F.col("a").alias("first"), F.col("b").alias("last"))
     found = None
     for k in range(2, longest + 1):
-        closed = walks.join(e, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b"))).select(F.array_join("walk", " > ").alias("cycle"))
+        closed = walks.join(e, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b"))).select("walk")
         found = closed if found is None else found.unionByName(closed)
         if k < longest:
             walks = walks.join(e, F.col("last") == F.col("a")).where("b > first AND NOT array_contains(walk, b)").select(F.concat("walk", F.array("b")).alias("walk"), "first", F.col("b").alias("last"))
     return found
 
 
+def circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int = 4) -> DataFrame:
+    """(cycle): import cycles of up to ``longest`` files, each once, from its lowest file on. Files on no cycle are peeled off first."""
+    return _short_cycles(_on_cycles(nodes, edges), longest).select(F.array_join("walk", " > ").alias("cycle"))
+
+
+def all_circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int = 4) -> DataFrame:
+    """(cycle): every import cycle of up to ``longest`` files and, without a bound, a shortest one for each import that is on none of those.
+
+    So each import on a cycle is in a cycle of the result. From the imports that are left the search goes on, a level at a time, until nothing new is reached.
+    """
+    e = _on_cycles(nodes, edges)
+    short = cut(_short_cycles(e, longest))
+    n = F.size("walk")
+    ring = short.select("walk", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(F.expr("walk[i]").alias("a"), F.expr("walk[(i + 1) % size(walk)]").alias("b"))
+    left = cut(e.join(ring.distinct(), ["a", "b"], "left_anti"))
+    hop = e.select(F.col("a").alias("last"), F.col("b").alias("next"))
+    found = short
+    frontier = left.select(F.col("a").alias("first"), F.col("b").alias("second"), F.col("b").alias("last"), F.array("a", "b").alias("walk"))
+    seen = frontier.select("first", "second", "last")
+    while not frontier.isEmpty():
+        ahead = frontier.join(hop, "last").groupBy("first", "second", F.col("next").alias("last")).agg(F.min("walk").alias("walk"))
+        closed = cut(ahead.where("last = first").select("first", "second", "walk"))
+        found = found.unionByName(closed.select(F.expr("array_position(walk, array_min(walk))").cast("int").alias("p"), "walk").select(F.expr("concat(slice(walk, p, size(walk)), slice(walk, 1, p - 1))").alias("walk")))
+        ahead = ahead.join(closed.select("first", "second"), ["first", "second"], "left_anti").join(seen, ["first", "second", "last"], "left_anti")
+        frontier = cut(ahead.select("first", "second", "last", F.concat("walk", F.array("last")).alias("walk")))
+        seen = cut(seen.unionByName(frontier.select("first", "second", "last")))
+    return found.distinct().select(F.array_join("walk", " > ").alias("cycle"))
+
+
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, incoming, outgoing, callers, calls, children) of every node: one pass over the edges, counted on both ends."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(True).alias("out")), F.struct(F.col("target").alias("id"), F.lit(False).alias("out")))).alias("e"), "kind").select("e.*", "kind")

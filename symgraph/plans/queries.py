@@ -90,6 +90,7 @@ _query("g13_dependencies", "SELECT DISTINCT n.file_path FROM edges e JOIN nodes
 _query("g14_dependents", "SELECT DISTINCT n.file_path FROM edges e JOIN nodes n ON n.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = 'imports' AND t.file_path = 'lib/brand_11.py' AND n.file_path <> t.file_path")(lambda n, e: G.dependents(n, e, "lib/brand_11.py"))
 _query("g15_modules", "SELECT regexp_replace(file_path, '/[^/]*$', '') AS dir, array_to_string(list(DISTINCT file_path ORDER BY file_path), ',') AS files FROM nodes WHERE kind = 'file' GROUP BY 1")(lambda n, e: G.module_structure(n).select("dir", F.array_join("files", ",").alias("files")))
 _query("g16_import_cycles", ", f AS (SELECT DISTINCT a.file_path AS a, b.file_path AS b FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE edges.kind = 'imports' AND a.file_path <> b.file_path), w(first, last, walk, k) AS (SELECT a, b, [a, b], 2 FROM f WHERE a < b UNION ALL SELECT first, b, list_append(walk, b), k + 1 FROM w JOIN f ON a = last WHERE b > first AND NOT list_contains(walk, b) AND k < 4) SELECT array_to_string(walk, ' > ') AS cycle FROM w JOIN f ON a = last AND b = first")(lambda n, e: G.circular_dependencies(n, e))
+_query("g16_import_cycles_all")(lambda n, e: G.all_circular_dependencies(n, e))
 _query("g17_metrics", "SELECT id, (SELECT count(*) FROM edges WHERE target = id) AS incoming, (SELECT count(*) FROM edges WHERE source = id) AS outgoing, (SELECT count(*) FROM edges WHERE target = id AND kind = 'calls') AS callers, (SELECT count(*) FROM edges WHERE source = id AND kind = 'calls') AS calls, (SELECT count(*) FROM edges WHERE source = id AND kind = 'contains') AS children FROM nodes")(lambda n, e: G.metrics(n, e))
 _query("g18_dead_code", "SELECT * FROM nodes WHERE kind IN ('function', 'method', 'class') AND NOT is_exported AND id NOT IN (SELECT target FROM edges WHERE kind <> 'contains')")(lambda n, e: G.dead_code(n, e))
 _query("entry_ranked_callers", "SELECT n.id, n.name, n.file_path, count(*) AS callers FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind IN ('calls', 'references') GROUP BY n.id, n.name, n.file_path")(lambda n, e: e.where("kind IN ('calls', 'references')").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("callers")).join(n.select("id", "name", "file_path"), "id"))

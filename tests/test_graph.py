@@ -33,6 +33,18 @@ def test_levels(edges):
     assert lookup.incoming(edges, "b", ("calls",)).count() == 2  # two call sites
 
 
+def test_long_paths_and_cycles(spark):
+    chain = spark.createDataFrame([("calls", f"n{i:02}", f"n{i + 1:02}", 1) for i in range(34)], EDGE)
+    assert [r.id for r in G.path(chain, "n00", "n34", ("calls",)).orderBy("step").collect()] == [f"n{i:02}" for i in range(35)]
+    rings = [["c", "d", "e", "f", "g", "b"], ["x", "y"], ["c", "z"], ["p", "q", "r", "s", "t"]]
+    imports = {(a, b) for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)} | {("y", "c"), ("e", "p"), ("t", "end")}
+    nodes = spark.createDataFrame([(f"file:{x}", "file", x, x, x, "python", 1, 2, False) for x in {y for i in imports for y in i}], NODE)
+    edges = spark.createDataFrame([("imports", f"file:{a}", f"file:{b}", None) for a, b in sorted(imports)], EDGE)
+    short = ["c > z", "x > y"]
+    assert sorted(r.cycle for r in G.circular_dependencies(nodes, edges).collect()) == short
+    assert sorted(r.cycle for r in G.all_circular_dependencies(nodes, edges).collect()) == sorted([*short, "b > c > d > e > f > g", "p > q > r > s > t"])
+
+
 def test_random_walk(spark, edges):
     nodes = spark.createDataFrame([(x, "function", x, x, "p.py", "python", 1, 2, False) for x in "abcdez"], NODE)
     only = edges.where("kind = 'calls'")
