@@ -136,7 +136,7 @@ _query("r15_dispatch", ", up(a, b) AS (SELECT source, target FROM edges WHERE ki
 
 # Ranking
 _query("e6_random_walk")(lambda n, e: ranking.random_walk(n, e, G.one(e, P)).withColumn("score", F.round("score", 9)))
-_query("e7_files")(lambda n, e: ranking.relevant_files(ranking.file_scores(n, ranking.random_walk(n, e, G.one(e, P), rounds=5))))
+_query("e7_files")(lambda n, e: ranking.relevant_files(ranking.file_scores(n, ranking.random_walk(n, e, G.one(e, P)))))
 _query("e11_clusters", ", m AS (SELECT n.* FROM nodes n JOIN nodes f ON f.kind = 'file' AND f.file_path = n.file_path WHERE n.kind <> 'file' AND (n.end_line - n.start_line + 1 <= 0.5 * f.end_line OR n.kind <> 'class')), r AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM m), c AS (SELECT *, sum(fresh) OVER (PARTITION BY file_path ORDER BY start_line, end_line, id) AS cluster FROM r) SELECT file_path, CAST(cluster AS BIGINT) AS cluster, min(start_line) AS start_line, max(end_line) AS end_line, count(*) AS symbols FROM c GROUP BY 1, 2")(lambda n, e: ranking.clusters(n, 1))
 _query("e14_blast_radius", "SELECT e.target AS root, count(DISTINCT e.source) AS callers, count(DISTINCT n.file_path) AS files FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind IN ('calls', 'references', 'imports') AND e.target IN (SELECT id FROM nodes WHERE is_exported) GROUP BY 1")(lambda n, e: ranking.blast_radius(n, e, n.where("is_exported")))
 _query("i_symbol_ids", "SELECT id, kind || ':' || substr(sha256(file_path || ':' || kind || ':' || name || ':' || start_line), 1, 32) AS symbol FROM nodes")(lambda n, e: n.select("id", N.symbol_id(F.col("file_path"), F.col("kind"), F.col("name"), F.col("start_line")).alias("symbol")))

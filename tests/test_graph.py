@@ -54,6 +54,17 @@ def test_random_walk(spark, edges):
     assert abs(sum(even.values()) - 1) < 1e-9
 
 
+def test_file_ranking_takes_all_rounds(spark, monkeypatch):
+    took = []
+
+    def walk(nodes, edges, seeds, alpha=ranking.ALPHA, rounds=ranking.ROUNDS):
+        took.append((alpha, rounds))
+        return nodes.selectExpr("id", "1.0D AS score")
+
+    monkeypatch.setattr(ranking, "random_walk", walk)
+    assert queries.QUERIES["e7_files"](spark, DATA).count() > 0 and took == [(0.25, 25)]
+
+
 @pytest.mark.parametrize(
     ("path", "test"),
     [("tests/a.py", True), ("src/test_a.py", True), ("src/a_test.go", True), ("a/FooTest.java", True), ("src/contest.py", False), ("src/latest.py", False), ("examples/a.py", True), ("a.spec.ts", True), ("src/a.py", False)],
