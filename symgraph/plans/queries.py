@@ -113,25 +113,27 @@ _BM = "regexp_split_to_array(lower(text), '[^\\pL\\pN]+')"
 _table("q5_bm25", "documents", f"WITH d AS (SELECT doc_id AS key, list_filter({_BM}, lambda t: t <> '') AS ws FROM documents WHERE text IS NOT NULL), c AS (SELECT key, len(ws) AS l, len(list_filter(ws, lambda t: t = 'licensed')) AS a, len(list_filter(ws, lambda t: t = 'version')) AS b FROM d), t AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c) SELECT key, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score FROM c, t WHERE a > 0 OR b > 0")(lambda d: search.bm25(d, "doc_id", "text", ["licensed", "version"]))
 _table("q2_postings", "documents", f"SELECT doc_id AS key, length, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(ws) AS INTEGER) AS length, unnest(ws) AS term FROM (SELECT doc_id, list_filter({_BM}, lambda t: t <> '') AS ws FROM documents)) GROUP BY ALL")(lambda d: search.postings(d, "doc_id", "text"))
 
-# Resolution: parts are called by name from the first line of every order
+# Resolution: parts are called by name from the first line of every order; r14_resolved_edges_all: from all its lines
 _REFS = "refs AS (SELECT DISTINCT o_custkey, replace(p_name, ' ', '_') AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)"
 
 
-def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _refs(spark: SparkSession, sf_dir: str, lines: str = "l_linenumber = 1") -> DataFrame:
     t = {x: spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("lineitem", "orders", "part")}
-    calls = t["lineitem"].where("l_linenumber = 1").join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select("o_custkey", F.translate("p_name", " ", "_").alias("reference_name")).distinct()
+    calls = t["lineitem"].where(lines).join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select("o_custkey", F.translate("p_name", " ", "_").alias("reference_name")).distinct()
     of = projection.nodes(spark, sf_dir).select(F.col("id").alias("from_node_id"), "file_path", "language", F.col("start_line").alias("line"))
     refs = calls.withColumn("from_node_id", F.concat(F.lit("method:c"), F.col("o_custkey"))).join(of, "from_node_id")
     return refs.select(F.concat_ws("|", "from_node_id", "reference_name").alias("ref_id"), "from_node_id", "reference_name", F.lit("calls").alias("reference_kind"), "file_path", "language", "line")
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, n = _refs(spark, sf_dir), projection.nodes(spark, sf_dir)
+def _resolved(spark: SparkSession, sf_dir: str, lines: str = "l_linenumber = 1") -> DataFrame:
+    refs, n = _refs(spark, sf_dir, lines), projection.nodes(spark, sf_dir)
     return linking.resolved_edges(refs, linking.resolve(refs, n), n)
 
 
 QUERIES["r14_resolved_edges"] = _resolved
 ORACLE_SQL["r14_resolved_edges"] = _BASE + f", {_REFS}, best AS (SELECT name, count(*) AS n, min_by(id, (CASE WHEN is_exported THEN 0 ELSE 1 END, file_path, start_line, id)) AS target FROM nodes WHERE kind = 'function' GROUP BY name) SELECT 'calls' AS kind, s.id AS source, b.target, s.start_line AS line, 'resolution:exact-name:' || CASE WHEN b.n = 1 THEN '0.90' ELSE '0.40' END AS provenance FROM refs JOIN best b ON b.name = refs.name JOIN nodes s ON s.id = 'method:c' || o_custkey"
+QUERIES["r14_resolved_edges_all"] = lambda spark, sf_dir: _resolved(spark, sf_dir, "true")
+ORACLE_SQL["r14_resolved_edges_all"] = ORACLE_SQL["r14_resolved_edges"].replace(" WHERE l_linenumber = 1), best", "), best")
 _query("r15_dispatch", ", up(a, b) AS (SELECT source, target FROM edges WHERE kind = 'extends' AND source <> target UNION SELECT up.a, e.target FROM up JOIN edges e ON e.source = up.b AND e.kind = 'extends') SELECT DISTINCT x.target AS source, y.target AS target FROM up JOIN edges x ON x.kind = 'contains' AND x.source = up.b JOIN edges y ON y.kind = 'contains' AND y.source = up.a JOIN nodes p ON p.id = x.target JOIN nodes q ON q.id = y.target AND substr(p.name, length(p.name), 1) = substr(q.name, length(q.name), 1) WHERE up.a <> up.b")(lambda n, e: linking.dispatch_edges(n.withColumn("name", F.when(F.col("kind") == "method", F.expr("right(name, 1)")).otherwise(F.col("name"))), e))
 
 # Ranking

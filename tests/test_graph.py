@@ -164,6 +164,23 @@ def test_queries_match_sql(spark):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall()), name
 
 
+def test_resolution_of_all_lines(spark):
+    import collections
+
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").collect()
+    buyer, part = {r.o_orderkey: r.o_custkey for r in read("orders")}, {r.p_partkey: r.p_name.replace(" ", "_") for r in read("part")}
+    nodes, best = {}, collections.defaultdict(list)
+    for r in projection.nodes(spark, DATA).collect():
+        nodes[r.id] = r
+        if r.kind == "function":
+            best[r.name].append((not r.is_exported, r.file_path, r.start_line, r.id))
+    refs = {(f"method:c{buyer[r.l_orderkey]}", part[r.l_partkey]) for r in read("lineitem") if r.l_orderkey in buyer and r.l_partkey in part}
+    want = {(s, min(best[name])[3], nodes[s].start_line, "resolution:exact-name:" + ("0.90" if len(best[name]) == 1 else "0.40")) for s, name in refs if s in nodes and name in best}
+    got = [(r.source, r.target, r.line, r.provenance) for r in queries.QUERIES["r14_resolved_edges_all"](spark, DATA).collect()]
+    assert len(got) == len(refs) and set(got) == want
+    assert len(got) > queries.QUERIES["r14_resolved_edges"](spark, DATA).count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
