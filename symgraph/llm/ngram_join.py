@@ -285,6 +285,20 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, pre
     return both.mapInArrow(lambda it: _verify(it, threshold), "doc_a bigint, doc_b bigint, jaccard double").unionByName(copies).dropDuplicates(["doc_a", "doc_b"])
 
 
+def all_pairs(pairs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, jaccard): the pairs of ``similar_pairs`` with every document in place of the first of its text: k copies give k (k - 1) / 2 pairs.
+
+    Exact where each id has one text; rows of one id with several texts can't be told apart here.
+    """
+    copies = pairs.where("jaccard = 1")
+    members = copies.select(F.col("doc_a").alias("_rep"), F.col("doc_a").alias("_id")).distinct().unionByName(copies.select(F.col("doc_a").alias("_rep"), F.col("doc_b").alias("_id")))
+    a, b = (members.select(F.col("_rep").alias(f"_rep_{x}"), F.col("_id").alias(f"_id_{x}")) for x in "ab")
+    within = a.join(b, F.col("_rep_a") == F.col("_rep_b")).where("_id_a < _id_b").select(F.col("_id_a").alias("doc_a"), F.col("_id_b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    across = pairs.where("jaccard < 1").join(a, F.col("doc_a") == F.col("_rep_a"), "left").join(b, F.col("doc_b") == F.col("_rep_b"), "left")
+    x, y = F.coalesce("_id_a", "doc_a"), F.coalesce("_id_b", "doc_b")
+    return within.unionByName(across.select(F.least(x, y).alias("doc_a"), F.greatest(x, y).alias("doc_b"), "jaccard"))
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, first) for the documents in pairs: the lowest id of the connected group, by large-star and small-star rounds.
 

@@ -75,6 +75,16 @@ def test_similar_pairs(docs, awkward, nothing):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows()} - {20, 21, 24, 34}
 
 
+def test_all_pairs(spark):
+    data = [(i, prose(3000, 100)) for i in (1, 5, 7)] + [(i, prose(3000, 99) + " other") for i in (3, 6)] + [(4, prose(3001, 100))]
+    sets = {i: grams(t) for i, t in data}
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], DOCS)
+    got = ngram_join.all_pairs(ngram_join.similar_pairs(docs)).collect()
+    assert len(got) == 10 and {(r.doc_a, r.doc_b) for r in got} == {k for k, s in want.items() if s >= 0.5}
+    assert all(abs(r.jaccard - want[r.doc_a, r.doc_b]) < 1e-12 for r in got)
+
+
 def spans(texts: list[tuple[int, str]], least: int) -> set:
     seen, out = {}, collections.defaultdict(set)
     words = {(i, n): t.split() for n, (i, t) in enumerate(sorted(set(texts)))}
