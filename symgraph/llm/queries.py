@@ -100,6 +100,14 @@ SELECT page_id, url, CAST(i AS INTEGER) AS chunk_no, i * {warc.CHUNK} AS start,
 """
 
 
+def op8_warc_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chunk table, with the payload's bytes."""
+    return warc.chunk_table(read(spark, sf_dir, "pages"))
+
+
+_OP8_PAYLOAD = _OP8.replace(" AS last FROM c", f" AS last, unhex(h[2 * {warc.CHUNK} * i + 1:2 * {warc.CHUNK} * (i + 1)]) AS payload FROM c")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_blocks(read(spark, sf_dir, "documents"))
 
@@ -117,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
+    "op8_warc_payload": op8_warc_payload,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
@@ -127,4 +136,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_suffix_array_dedup": _OP6,
     "op7_ngram_jaccard_join": _OP7,
     "op8_warc": _OP8,
+    "op8_warc_payload": _OP8_PAYLOAD,
 }

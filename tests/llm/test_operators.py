@@ -269,6 +269,18 @@ def test_warc(spark):
     assert warc.chunk_table(table.selectExpr("page_id", "url", "'' AS html").limit(0)).count() == 0
 
 
+def test_warc_query_returns_payload(spark):
+    import duckdb
+    from symgraph.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
+    rel, got = con.sql(queries.ORACLE_SQL["op8_warc_payload"]), queries.QUERIES["op8_warc_payload"](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(rel.columns) and "payload" in got.columns
+    plain = lambda rs: sorted(repr(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)) for r in rs)
+    assert plain(got.select(*rel.columns).collect()) == plain(rel.fetchall())
+
+
 def test_warc_plain_and_foreign():
     import io
 
