@@ -32,7 +32,7 @@ REACH, DECAY, LANDMARKS = 3, 0.6, 256
 #: Words are read in windows of so many letters, so many apart.
 WIDEST, STEP = 7, 4
 #: The training sample: at most so many labelled documents, and so many bytes of each.
-MOST_LABELLED, MOST_BYTES = 4000, 20_000
+MOST_LABELLED = 4000
 PAIRS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
 
 _DROP, _OTHER, _DIGIT, _INSIDE = 255, 27, 28, 29
@@ -147,7 +147,7 @@ def scores(model: Model, classes: np.ndarray, start: np.ndarray, length: np.ndar
 
 def _fold_text(text: str) -> set[str]:
     """The units of a text as strings of letters and marks."""
-    raw = np.frombuffer(text.encode()[:MOST_BYTES], np.uint8)
+    raw = np.frombuffer(text.encode(), np.uint8)
     classes, begin, first = fold(raw, np.array([0, len(raw)]))
     start, length = begin[:-1], np.diff(begin)
     head, n = _single_runs(length, K.row_of(first, len(start)))
@@ -245,8 +245,12 @@ def _distinct(bags: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
 
 def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     """A model from (text, toxic) rows. With too little evidence of either kind it finds nothing toxic."""
+    return _fit([(_fold_text(t), y) for t, y in rows if t is not None and y is not None], landmarks)
+
+
+def _fit(labelled: list[tuple[set[str], int]], landmarks: int = LANDMARKS) -> Model:
     never = Model(np.zeros(32768, np.float32), -1.0)
-    bags = _distinct([(_fold_text(t), y) for t, y in rows if t is not None and y is not None])
+    bags = _distinct(labelled)
     n_toxic = sum(y == 1 for _, y in bags)
     n_clean = len(bags) - n_toxic
     if not n_toxic or not n_clean:
@@ -304,12 +308,20 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     return model
 
 
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct units of whole texts."""
+    for b in batches:
+        units = [sorted(_fold_text(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.list_(pa.string())), b.column(2)], names=["doc_id", "units", "toxic"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """Fit on at most ``most`` labelled documents, chosen by a hash of their id, so the same ones at every run."""
     wanted = labels.select(F.col("doc_id").cast("bigint").alias("_of"), F.col("toxic").cast("int").alias("toxic")).where("_of IS NOT NULL AND toxic IS NOT NULL")
     wanted = wanted.dropDuplicates(["_of"]).orderBy(F.xxhash64("_of"), "_of").limit(most)
-    rows = texts(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("_of")).select("doc_id", F.substring("text", 1, MOST_BYTES).alias("text"), "toxic").collect()
-    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    rows = texts(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "toxic").mapInArrow(_unit_rows, "doc_id bigint, units array<string>, toxic int").collect()
+    return _fit([(set(r["units"]), r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["units"]))])
+
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -252,6 +252,14 @@ def test_wrappers_lose_no_text(spark):
     assert all(r.fields == [long[k]] and r.text == long[k] for k in (10, 11) for r in got[k])
 
 
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_fit", lambda labelled, landmarks=0: seen.extend(labelled))
+    text = prose(5000, 30_000) + " zzyzxword"
+    toxicity.train(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int"))
+    assert seen == [(toxicity._fold_text(text), 1)] and any("zzyzx" in u for u in seen[0][0])
+
+
 def test_warc(spark):
     data = [(1, "http://a/", "x" * 100), (2, "http://b/\r\n", "é" * 40), (3, None, ""), (4, "u", None), (None, "n", "WARC/1.0\r\n\r\n"), (1, "http://a/", "x" * 100), (5, "big", prose(1, 60_000))]
     table = warc.chunk_table(spark.createDataFrame([(*d, 1) for d in data], "page_id bigint, url string, html string, chunk_no int"), chunk=64)
