@@ -1,17 +1,20 @@
-"""Exact Jaccard of word n-gram sets for all similar pairs of documents, by set-relation skipping.
-
-A document's set holds the hashes of its lower-cased word n-grams (the whole text is one gram where it has fewer than n words,
-and a text without words has no set and no pairs). Three steps:
-
-1. Each set is indexed under its ``prefix`` lowest-ranked grams. An index list is sorted by set size and cut into blocks; blocks
-   whose sizes rule out the threshold are skipped, and within the others pairs are skipped by the gram's position: what follows
-   it in both sets bounds the overlap. Equal sets are folded into one here, for they have the same answers.
-2. A pair that shares at least two of the indexed grams is given to the lowest of them; only there the sets are sent.
-3. Per list one set, the pivot, is compared with all others; the answers of each other set come from the pivot's answers, changed
-   by the grams in which the two sets differ.
-
-The prefix bounds the index, not the partners: a pair of similarity s has fewer than two common grams among the 12 lowest of its
-union with a probability of at most (1-s)^12 + 12 s (1-s)^11, which is 0.3 % at 0.5 and 0.03 % at 0.6. The similarity itself is exact.
+"""Exact Jaccard of word n-gram sets for all similar documents, by set-relation skipping.
+
+A document's set holds the 64-bit hashes of its lower-cased word n-grams (the whole text is one gram where it has fewer than n words,
+and a text without words has no set). A set is known by its fingerprint, so equal sets are one set, with the documents that have it
+as its members: copies, however many, cost one row each. The steps:
+
+1. Grams travel once, packed by bucket, and those that only one set has end there. A similar pair's common grams are all in two sets
+   or more, so what is left suffices for exact overlaps. Grams that a great share of all sets have are found first (a list bounded by
+   that share, not by the input), and don't travel: no bucket gets a hot gram's list here.
+2. A set's grams are ordered by the number of sets that have them, and it is indexed under the first n - ceil(t n) + 1 of this order:
+   similar sets share one of these, so nothing is lost. Sets whose rare grams fill that prefix are similar to none.
+3. An index list is sorted by set size and cut into blocks. Blocks whose sizes rule out the threshold are skipped, and within the
+   others pairs by the gram's positions: what precedes and what follows it in both sets bounds the overlap. A list of more than ``LIST`` sets is split into
+   cells, each pair of its parts for another task. A pair goes to one of its common grams: the lowest among the ``SKETCH`` lowest indexed
+   grams of either set; pairs whose sketches have nothing in common go to each bucket in which they meet.
+4. Pairs are counted per list: each set's answers come from those of the most similar set answered before, changed by the grams in
+   which the two differ.
 """
 
 from __future__ import annotations
@@ -24,14 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import kernels as K
-from symgraph.llm.tables import cut, fresh, texts
+from symgraph.llm.tables import cut, fresh, release, shared_table, texts
 
-N, THRESHOLD, PREFIX, BLOCK = 3, 0.5, 12, 512
-LIST_ROWS, MOST_GRAMS, PAIRS = 20_000, 1_000_000, 200_000
+N, THRESHOLD, BLOCK, SKETCH = 3, 0.5, 512, 12
+#: Sets of an index list that one task takes, sets of a list that are counted together, and bytes of a postings table.
+LIST, GROUP, POSTINGS = 4096, 500, 32 << 20
+#: Bytes of text in a pack; grams in a bucket, about.
+PACK_BYTES, BUCKET_GRAMS = 8 << 20, 2_000_000
+#: A gram is hot if at least this share of all sets, and this many, have it: at most (grams of a mean set / share) are.
+HOT_SHARE, HOT_LEAST = 0.005, 10_000
 
 
 def gram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' sets one after another, each sorted, as 32-bit hashes; and their sizes."""
+    """The rows' sets one after another, each sorted, as 64-bit hashes; and their sizes."""
     words, _, first = K.word_hashes(raw, offsets)
     counts = np.diff(first)
     rows = K.row_of(first, len(words))
@@ -42,269 +50,450 @@ def gram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     if len(short):
         whole = [K.mix(np.array([(words[first[r] : first[r + 1]] * K.power_table(n)[: counts[r]]).sum() + K.U64(counts[r])], K.U64))[0] for r in short]
         of, value = np.append(of, short), np.append(value, np.array(whole, K.U64))
-    keyed = np.unique((of.astype(K.U64) << K.U64(32)) | (value >> K.U64(32)))
-    sizes = np.bincount((keyed >> K.U64(32)).astype(np.int64), minlength=len(offsets) - 1)
-    return (keyed & K.U64(0xFFFFFFFF)).astype(np.uint32), sizes
+    order = np.lexsort((value, of))
+    of, value = of[order], value[order]
+    once = np.ones(len(of), bool)
+    once[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
+    return value[once], np.bincount(of[once], minlength=len(offsets) - 1)
+
 
+def fingerprints(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each set."""
+    sums = np.append(np.zeros(1, K.U64), np.cumsum(K.mix(grams + K.BASE)))
+    ends = np.cumsum(sizes)
+    return K.mix(sums[ends] - sums[ends - sizes] + sizes.astype(K.U64)).view(np.int64)
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, prefix: int) -> Iterator[pa.RecordBatch]:
+
+def _packs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, fingerprints, sizes, grams) of about PACK_BYTES of text at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    much = 0
     for b in batches:
         for lo, hi, raw, offsets in K.slices(b.column(1)):
             grams, sizes = gram_sets(raw, offsets, n)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            mixed = K.mix(grams.astype(K.U64) + K.BASE)
-            sums = np.append(np.zeros(1, K.U64), np.cumsum(mixed))
-            finger = (sums[ends] - sums[starts]).view(np.int64)
-            low = np.full((hi - lo, prefix), -1, np.int64)
-            take = np.minimum(sizes, prefix)
-            row = np.repeat(np.arange(hi - lo), take)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-            token = grams[starts[row] + at].astype(np.int64)
-            low[row, at] = token
-            low = low[:, :].astype(np.uint32)  # an absent entry becomes the largest value; its count says that it is none
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token), pa.array(at.astype(np.int32)), pa.array(ids[row].astype(np.int64)), pa.array(sizes[row].astype(np.int32)), pa.array(finger[row]), K.binaries(low[row].reshape(-1), np.full(len(row), prefix))],
-                names=["token", "pos", "doc_id", "n", "finger", "low"],
-            )
-
-
-def _needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+            held.append((b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64), fingerprints(grams, sizes), sizes, grams))
+            much += len(raw)
+            if much >= PACK_BYTES:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, much = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _distinct(fingers: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set of a pack once."""
+    _, one = np.unique(fingers, return_index=True)
+    one = one[sizes[one] > 0]
+    mine = np.zeros(len(fingers), bool)
+    mine[one] = True
+    return fingers[mine], sizes[mine], grams[np.repeat(mine, sizes)]
+
+
+def _members(batches: Iterator[pa.RecordBatch], n: int, share: float) -> Iterator[pa.RecordBatch]:
+    """(hot false, key fingerprint, n size, doc_id) of each row, and (hot true, key gram, n sets) of what is frequent in a pack."""
+    for ids, fingers, sizes, grams in _packs(batches, n):
+        own, _, every = _distinct(fingers, sizes, grams)
+        gram, count = np.unique(every, return_counts=True)
+        often = count >= max(2, share / 2 * len(own))
+        gram, count = gram[often].view(np.int64), count[often]
+        kind = np.arange(len(ids) + len(gram)) >= len(ids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kind), pa.array(np.append(fingers, gram)), pa.array(np.append(sizes, count).astype(np.int64)), pa.array(np.append(ids, np.zeros(len(gram), np.int64)), mask=kind)], names=["hot", "key", "n", "doc_id"]
+        )
+
+
+def packed(buckets: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """A row for each bucket that occurs: its number, and its entries of each column as bytes."""
+    order = np.argsort(buckets, kind="stable")
+    b = buckets[order]
+    heads = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(heads, len(b)))
+    return [pa.array(b[heads].astype(np.int32)), *(K.binaries(c[order], counts) for c in columns)]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], *types: type) -> list[np.ndarray]:
+    """All entries of a partition of packed rows."""
+    parts: list[list[np.ndarray]] = [[] for _ in types]
+    for b in batches:
+        for k, t in enumerate(types):
+            parts[k].append(K.column_bytes(b.column(k + 1))[0].view(t))
+    return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, types, strict=True)]
+
+
+def _by_gram(batches: Iterator[pa.RecordBatch], n: int, parts: int, hot: np.ndarray, hot_n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed (fingerprint, size, gram, sets that have it: 0 where that is to be counted)."""
+    for _, fingers, sizes, grams in _packs(batches, n):
+        fingers, sizes, grams = _distinct(fingers, sizes, grams)
+        of = np.repeat(np.arange(len(fingers)), sizes)
+        df = np.zeros(len(grams), np.uint32)
+        bucket = grams % K.U64(parts)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+            is_hot = hot[at] == grams
+            df[is_hot] = hot_n[at[is_hot]]
+            bucket[is_hot] = fingers[of[is_hot]].view(K.U64) % K.U64(parts)
+        yield pa.RecordBatch.from_arrays(packed(bucket, fingers[of], sizes[of].astype(np.int32), grams, df), names=["part", "finger", "n", "gram", "df"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """What several sets have, with the number of these, packed by set."""
+    finger, n, gram, df = gathered(batches, np.int64, np.int32, np.uint64, np.uint32)
+    order = np.lexsort((finger, gram))
+    finger, n, gram, df = finger[order], n[order], gram[order], df[order]
+    once = np.ones(len(gram), bool)
+    once[1:] = (gram[1:] != gram[:-1]) | (finger[1:] != finger[:-1])
+    finger, n, gram, df = finger[once], n[once], gram[once], df[once]
+    heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+    size = np.diff(np.append(heads, len(gram)))
+    df = np.where(df > 0, df, np.repeat(size, size)).astype(np.uint32)
+    keep = df > 1
+    finger, n, gram, df = finger[keep], n[keep], gram[keep], df[keep]
+    yield pa.RecordBatch.from_arrays(packed(finger.view(np.uint64) % np.uint64(parts), finger, n, gram, df), names=["part", "finger", "n", "gram", "df"])
+
+
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def _ordered(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Sets that can have partners: grams that others have too, the rarest first, of which ``q`` are indexed."""
+    finger, n, gram, df = gathered(batches, np.int64, np.int32, np.uint64, np.uint32)
+    order = np.lexsort((gram, df, finger))
+    finger, n, gram, df = finger[order], n[order], gram[order], df[order]
+    once = np.ones(len(gram), bool)
+    once[1:] = (gram[1:] != gram[:-1]) | (finger[1:] != finger[:-1])
+    finger, n, gram, df = finger[once], n[once], gram[once], df[once]
+    heads = np.flatnonzero(np.append(True, finger[1:] != finger[:-1])) if len(gram) else np.zeros(0, np.int64)
+    r = np.diff(np.append(heads, len(gram)))
+    size = n[heads].astype(np.int64)
+    q = prefix_length(size, threshold) - (size - r)
+    good = q > 0
+    keep = np.repeat(good, r)
+    every = K.binaries(gram[keep], r[good])
+    first = keep & (np.arange(len(gram)) - np.repeat(heads, r) < np.repeat(q, r))
+    counts = K.binaries(df[first], np.minimum(q, r)[good])
+    for lo in range(0, int(good.sum()), 2000):
+        s = slice(lo, lo + 2000)
+        yield pa.RecordBatch.from_arrays([pa.array(finger[heads][good][s]), pa.array(size[good][s]), every.slice(lo, 2000), counts.slice(lo, 2000)], names=["finger", "n", "grams", "dfs"])
+
+
+def _index(batches: Iterator[pa.RecordBatch], parts: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Index entries packed by list: sets (fingerprint, size, sketch), and entries (set, gram, cell, side, position)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        finger, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        raw, at = K.column_bytes(b.column(2))
+        grams, starts = raw.view(np.uint64), at[:-1] // 8
+        r = np.diff(at) // 8
+        raw, at = K.column_bytes(b.column(3))
+        df, q = raw.view(np.uint32).astype(np.int64), np.diff(at) // 4
+        row = np.repeat(np.arange(len(n)), q)
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(q) - q, q)
+        gram = grams[starts[row] + rank]
+        pos = (n - r)[row] + rank
+        order = np.lexsort((gram, row))
+        low = order[rank < SKETCH]  # rank runs over each row alike, whatever the order within
+        sketch = np.full((len(n), SKETCH), np.iinfo(np.uint64).max)
+        sketch[row[low], rank[rank < SKETCH]] = gram[low]
+        split = -(-df // most)
+        mine = K.mix(finger[row].view(np.uint64)) % split.astype(np.uint64)
+        again = np.repeat(np.arange(len(row)), split)  # once for each part of the list, its own too
+        other = np.arange(len(again)) - np.repeat(np.cumsum(split) - split, split)
+        own = mine[again].astype(np.int64)
+        cell = (np.minimum(own, other) * split[again] + np.maximum(own, other)).astype(np.uint32)
+        side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
+        row, gram, pos = row[again], gram[again], pos[again]
+        bucket = (K.mix(gram ^ (cell.astype(np.uint64) * K.BASE)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((row, bucket))
+        row, gram, pos, cell, side, bucket = row[order], gram[order], pos[order], cell[order], side[order], bucket[order]
+        head = np.append(True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1]))
+        sets, of = row[head], bucket[head]
+        number = np.cumsum(head) - 1
+        number = number - np.searchsorted(of, bucket)
+        sketches = [np.ascontiguousarray(sketch[sets, k]) for k in range(SKETCH)]
+        left, right = packed(of, finger[sets], n[sets].astype(np.int32), *sketches), packed(bucket, number.astype(np.int32), gram, cell, side, pos.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*left, *right[1:]], names=["part", "finger", "n", *(f"s{k}" for k in range(SKETCH)), "number", "gram", "cell", "side", "pos"])
+
+
+_INDEX = "part int, finger binary, n binary, " + ", ".join(f"s{k} binary" for k in range(SKETCH)) + ", number binary, gram binary, cell binary, side binary, pos binary"
+
+
+def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """The overlap that sets of a and b grams need."""
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def _shared(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, token: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of prefixes: how many grams they share, and whether a shared one comes before token."""
-    k = np.arange(prefix)
-    equal = (a[:, :, None] == b[:, None, :]) & (k < na[:, None])[:, :, None] & (k < nb[:, None])[:, None, :]
-    hit = equal.any(2)
-    return hit.sum(1), (hit & (a < token[:, None])).any(1)
-
-
-def list_pairs(token: np.ndarray, pos: np.ndarray, ids: np.ndarray, n: np.ndarray, finger: np.ndarray, low: np.ndarray, threshold: float, prefix: int) -> tuple[np.ndarray, ...]:
-    """(token, a, b) of the pairs that these index lists own, and (rep, copy) of equal sets, given out at position 0."""
-    order = np.lexsort((ids, finger, n, token))
-    token, pos, ids, n, finger, low = (x[order] for x in (token, pos, ids, n, finger, low))
-    fresh = np.ones(len(token), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (finger[1:] != finger[:-1])
-    rep = ids[np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))]
-    copy = ~fresh & (pos == 0) & (rep != ids)
-    copies = rep[copy], ids[copy]
-    token, pos, ids, n, low = (x[fresh] for x in (token, pos, ids, n, low))
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(token))[: len(starts)]
-    out: list[tuple[np.ndarray, ...]] = []
-
-    def judge(i: np.ndarray, j: np.ndarray) -> None:
-        need = _needed(n[i], n[j], threshold)
-        keep = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (np.minimum(n[i], n[j]) >= need)
-        i, j, need = i[keep], j[keep], need[keep]
-        for c in range(0, len(i), 50_000):
-            x, y = i[c : c + 50_000], j[c : c + 50_000]
-            count, before = _shared(low[x], low[y], np.minimum(n[x], prefix), np.minimum(n[y], prefix), token[x], prefix)
-            good = (count >= np.minimum(2, need[c : c + 50_000])) & ~before
-            x, y = x[good], y[good]
-            out.append((token[x], np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-
-    small = (ends - starts > 1) & (ends - starts <= 32)
-    for m in np.unique((ends - starts)[small]):
-        s = starts[small & (ends - starts == m)]
-        x, y = np.triu_indices(int(m), 1)
-        for c in range(0, len(s), max(1, 200_000 // len(x))):
-            part = s[c : c + max(1, 200_000 // len(x))]
-            judge((part[:, None] + x).ravel(), (part[:, None] + y).ravel())
-    for s, e in zip(starts[ends - starts > 32], ends[ends - starts > 32], strict=True):
-        for lo in range(s, e, BLOCK):  # a block of sets, and the sets from it on whose size may still do
-            hi = min(lo + BLOCK, e)
-            top = s + int(np.searchsorted(n[s:e], n[hi - 1] / threshold + 1e-9, "right"))
-            for c in range(lo, top, 4 * BLOCK):
-                x, y = np.meshgrid(np.arange(lo, hi), np.arange(c, min(c + 4 * BLOCK, top)), indexing="ij")
-                ahead = (x < y) & (n[x] >= threshold * n[y] - 1e-9)
-                judge(x[ahead], y[ahead])
-    pairs = tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
-    return *pairs, *copies
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], threshold: float, prefix: int) -> Iterator[pa.RecordBatch]:
-    for b in K.whole_groups(batches, "token", LIST_ROWS):
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        twice = np.zeros(b.num_rows, bool)
-        twice[1:] = cols[0][1:] == cols[0][:-1]
-        twice[:-1] |= twice[1:]
-        if not twice.any():
-            continue
-        low = K.column_bytes(b.column(5))[0].view(np.uint32).reshape(-1, prefix)[twice]
-        token, x, y, rep, copy = list_pairs(*(c[twice] for c in cols), low, threshold, prefix)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(token, np.full(len(rep), -1))), pa.array(np.append(x, rep)), pa.array(np.append(y, copy))], names=["token", "a", "b"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+class _Lists:
+    """The index lists of a bucket, and the pairs of sets in them."""
+
+    def __init__(self, finger: np.ndarray, n: np.ndarray, sketch: np.ndarray, entries: list[np.ndarray], threshold: float, group: int):
+        self.finger, self.n, self.sketch, self.threshold, self.group = finger, n, sketch, threshold, group
+        of, gram, cell, side, pos = entries
+        order = np.lexsort((finger[of], n[of], cell, gram))
+        of, gram, cell, side, pos = of[order], gram[order], cell[order], side[order], pos[order]
+        head = np.append(True, (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])) if len(gram) else np.zeros(0, bool)
+        begin = np.flatnonzero(head)
+        length = np.diff(np.append(begin, len(gram)))
+        live = np.repeat(length > 1, length)
+        self.of, self.gram, self.cell, self.side, self.pos = of[live], gram[live], cell[live], side[live], pos[live]
+        self.length = length[length > 1]
+        self.begin = np.cumsum(self.length) - self.length
+        self.rank = np.arange(len(self.of)) - np.repeat(self.begin, self.length)
+        self.drawn = (sketch[self.of] == self.gram[:, None]).any(1)
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def judge(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Entries i and j of a list: what can be similar, and belongs here."""
+        n, pos = self.n[self.of], self.pos
+        need = needed(n[i], n[j], self.threshold)
+        keep = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+        keep &= ((self.side[i] != self.side[j]) | (self.side[i] == 0)) & (self.of[i] != self.of[j])
+        i, j = i[keep], j[keep]
+        both = self.drawn[i] & self.drawn[j]
+        for c in range(0, int(both.sum()), 20_000):
+            x, y = i[both][c : c + 20_000], j[both][c : c + 20_000]
+            a, b = self.sketch[self.of[x]], self.sketch[self.of[y]]
+            lower = ((a[:, :, None] == b[:, None, :]).any(2) & (a < self.gram[x][:, None])).any(1)
+            self._give(x[~lower], y[~lower])
+        i, j = i[~both], j[~both]
+        if len(i):
+            self.far.append((self.of[i] * len(self.finger) + self.of[j], i, j))
+            self.waiting += len(i)
+            if self.waiting > 4_000_000:
+                self._merge()
+
+    def _merge(self) -> None:
+        key, i, j = (np.concatenate(x) for x in zip(*self.far, strict=True))
+        _, one = np.unique(key, return_index=True)
+        self.far, self.waiting = [(key[one], i[one], j[one])], len(one) // 2
+
+    def _give(self, i: np.ndarray, j: np.ndarray) -> None:
+        place = (self.rank[i] // self.group << 24 | self.rank[j] // self.group).astype(np.uint64)
+        key = K.mix(self.gram[i] ^ K.mix(place + K.BASE * (self.cell[i].astype(np.uint64) + K.U64(1))))
+        a, b = self.finger[self.of[i]], self.finger[self.of[j]]
+        self.found.append((key.view(np.int64), np.minimum(a, b), np.maximum(a, b)))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(key, a, b): key stands for the list, or the part of it, in which the pair is counted."""
+        small = self.length <= 32
+        for m in np.unique(self.length[small]):
+            s = self.begin[small & (self.length == m)]
+            x, y = np.triu_indices(int(m), 1)
+            step = max(1, 200_000 // len(x))
+            for c in range(0, len(s), step):
+                self.judge((s[c : c + step, None] + x).ravel(), (s[c : c + step, None] + y).ravel())
+            yield from self._out()
+        n = self.n[self.of]
+        for s, e in zip(self.begin[~small].tolist(), (self.begin + self.length)[~small].tolist(), strict=True):
+            for lo in range(s, e, BLOCK):  # a block of sets, and the sets from it on whose size may still do
+                hi = min(lo + BLOCK, e)
+                top = s + int(np.searchsorted(n[s:e], n[hi - 1] / self.threshold + 1e-9, "right"))
+                for c in range(lo, top, 2 * BLOCK):
+                    x, y = np.meshgrid(np.arange(lo, hi), np.arange(c, min(c + 2 * BLOCK, top)), indexing="ij")
+                    ahead = (x < y) & (n[x] >= self.threshold * n[y] - 1e-9)
+                    self.judge(x[ahead], y[ahead])
+            yield from self._out()
+        if self.far:
+            self._merge()
+            _, i, j = self.far.pop()
+            for c in range(0, len(i), 20_000):
+                x, y = i[c : c + 20_000], j[c : c + 20_000]
+                apart = np.ones(len(x), bool)
+                a, b = self.sketch[self.of[x]], self.sketch[self.of[y]]
+                for k in range(SKETCH):
+                    apart &= ~((a[:, k, None] == b) & (b != np.iinfo(np.uint64).max)).any(1)
+                self._give(x[apart], y[apart])
+        yield from self._out(1)
+
+    def _out(self, least: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
+        if sum(len(x[0]) for x in self.found) >= least:
+            yield tuple(np.concatenate(x) for x in zip(*self.found, strict=True))
+            self.found = []
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], threshold: float, group: int) -> Iterator[pa.RecordBatch]:
+    sets: list[list[np.ndarray]] = [[] for _ in range(2 + SKETCH)]
+    entries: list[list[np.ndarray]] = [[] for _ in range(5)]
+    known = 0
     for b in batches:
-        for lo, hi, raw, offsets in K.slices(b.column(1)):
-            grams, sizes = gram_sets(raw, offsets, n)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), K.binaries(grams, sizes)], names=["doc_id", "grams"])
+        columns = [K.column_bytes(b.column(1 + k)) for k in range(7 + SKETCH)]
+        for r in range(b.num_rows):
+            part = [raw[o[r] : o[r + 1]] for raw, o in columns]
+            for k in range(2 + SKETCH):
+                sets[k].append(part[k].view((np.int64, np.int32)[k] if k < 2 else np.uint64))
+            for k, t in enumerate((np.int32, np.uint64, np.uint32, np.uint8, np.int32)):
+                x = part[2 + SKETCH + k].view(t)
+                entries[k].append(x.astype(np.int64) + known if k == 0 else x)
+            known += len(sets[0][-1])
+    if not known:
+        return
+    finger, n, *sketch = (np.concatenate(x) for x in sets)
+    lists = _Lists(finger, n.astype(np.int64), np.stack(sketch, 1), [np.concatenate(x) for x in entries], threshold, group)
+    del sets, entries, sketch
+    for key, a, b in lists.pairs():
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
 
 def overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
-    """The overlaps of the pairs ``wanted`` (rows of two set numbers), each set's answers derived from the pivot's.
-
-    The pivot is the largest set. Postings say which sets hold a gram; a set's answers are the pivot's, less the postings of
-    grams that only the pivot has, plus those of grams that only the set has. Many long sets are taken by ranges of their grams,
-    whose overlaps add up, so that memory stays bounded.
-    """
-    sizes = np.array([len(s) for s in sets])
+    """The overlaps of the pairs ``wanted`` (rows of two set numbers). The grams are taken in ranges, whose overlaps add up, so that memory stays bounded."""
     if len(wanted) <= 3:
         return np.array([len(np.intersect1d(sets[i], sets[j], True)) for i, j in wanted], np.int64)
-    if sizes.sum() > MOST_GRAMS and sizes.max() > 1:
-        bounds = np.linspace(0, 1 << 32, -(-int(sizes.sum()) // MOST_GRAMS) + 1).astype(np.int64)[1:-1]
-        cuts = [np.searchsorted(s, bounds) for s in sets]
-        parts = zip(*(np.split(s, c) for s, c in zip(sets, cuts, strict=True)), strict=True)
-        return sum(_overlaps(list(p), wanted) for p in parts)
-    return _overlaps(sets, wanted)
-
-
-def _overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     sizes = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    grams, number, count = np.unique(every, return_inverse=True, return_counts=True)
     common = count > 1  # a gram of one set is in no overlap
-    renumber = np.cumsum(common) - 1
     keep = common[number]
-    number, owner = renumber[number[keep]], owner[keep]
-    held = np.split(number, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
-    width = int(common.sum())
-    pivot = int(np.argmax(sizes))
-    of = np.zeros(width, bool)
-    of[held[pivot]] = True
-    order = np.lexsort((wanted[:, 1], wanted[:, 0]))
+    number, owner = (np.cumsum(common) - 1)[number[keep]], owner[keep]
+    width, out = int(common.sum()), np.zeros(len(wanted), np.int64)
+    step = max(1, POSTINGS // len(sets))
+    for lo in range(0, width, step):
+        mine = (number >= lo) & (number < lo + step)
+        out += derived(number[mine] - lo, owner[mine], min(step, width - lo), len(sets), wanted)
+    return out
+
+
+def derived(number: np.ndarray, owner: np.ndarray, width: int, n: int, wanted: np.ndarray) -> np.ndarray:
+    """Overlaps over grams 0 to width - 1, each set's answers from those of the set, among the answered ones, from which it differs least.
+
+    Postings say which sets hold a gram. A set's answers are the other's, plus the postings of grams that only this one has, less those of
+    grams that only the other has; where that is no less work than its own grams are, they are added up afresh.
+    """
+    held = np.split(number, np.cumsum(np.bincount(owner, minlength=n))[:-1])
+    size = np.array([len(h) for h in held])
+    postings = np.zeros((width, n), np.uint8)
+    postings[number, owner] = 1
+    order = np.argsort(wanted[:, 0], kind="stable")
+    asked, begin = np.unique(wanted[order, 0], return_index=True)
     out = np.zeros(len(wanted), np.int64)
-    firsts, begin = np.unique(wanted[order, 0], return_index=True)
-    step = max(1, 32_000_000 // max(1, width))
-    for c in range(0, len(sets), step):  # columns of the postings, so that many long sets don't fill the memory
-        postings = np.zeros((width, min(step, len(sets) - c)), np.uint8)
-        mine = (owner >= c) & (owner < c + step)
-        postings[number[mine], owner[mine] - c] = 1
-        base = postings[of].sum(0, dtype=np.int64)
-        for i, lo, hi in zip(firsts, begin, np.append(begin[1:], len(order)), strict=True):
-            at = order[lo:hi]
-            partner = wanted[at, 1] - c
-            inside = (partner >= 0) & (partner < postings.shape[1])
-            if not inside.any():
-                continue
-            has = np.zeros(width, bool)
-            has[held[i]] = True
-            cols = partner[inside]
-            gained, lost = np.flatnonzero(has & ~of), np.flatnonzero(of & ~has)
-            if len(gained) + len(lost) < len(held[i]):
-                answer = base + postings[gained].sum(0, dtype=np.int64) - postings[lost].sum(0, dtype=np.int64)
-            else:
-                answer = postings[held[i]].sum(0, dtype=np.int64)
-            out[at[inside]] = answer[cols]
+    answers: dict[int, np.ndarray] = {}
+    differ, like = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    for i, lo, hi in zip(asked.tolist(), begin.tolist(), np.append(begin[1:], len(order)).tolist(), strict=True):
+        base = int(like[i])
+        if base >= 0 and differ[i] < size[i]:
+            has, had = np.zeros(width, bool), np.zeros(width, bool)
+            has[held[i]], had[held[base]] = True, True
+            mine = answers[base] + postings[has & ~had].sum(0, dtype=np.int64) - postings[had & ~has].sum(0, dtype=np.int64)
+        else:
+            mine = postings[held[i]].sum(0, dtype=np.int64)
+        answers[i] = mine
+        out[order[lo:hi]] = mine[wanted[order[lo:hi], 1]]
+        away = size[i] + size - 2 * mine
+        nearer = away < differ
+        differ[nearer], like[nearer] = away[nearer], i
     return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by token, a token's sets before its pairs; the pairs, which may be many more, are taken PAIRS at a time."""
+    """Batches sorted by key, a key's sets before its pairs; a key has at most two parts of a list, so that all of it fits."""
     now: int | None = None
-    held: dict[int, np.ndarray] = {}
+    held: dict[int, tuple[int, np.ndarray]] = {}
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     found: list[tuple[np.ndarray, ...]] = []
-    count = rows = 0
+    rows = 0
 
     def judge() -> None:
-        nonlocal count, rows
+        nonlocal rows
         if waiting and held:
             p, q = (np.concatenate(x) for x in zip(*waiting, strict=True))
             ids = np.unique(np.append(p, q))
             x, y = np.searchsorted(ids, p), np.searchsorted(ids, q)
-            sets = [held[i] for i in ids.tolist()]
-            sizes = np.array([len(s) for s in sets])
-            both = overlaps(sets, np.stack([x, y], 1))
+            sizes = np.array([held[i][0] for i in ids.tolist()])
+            both = overlaps([held[i][1] for i in ids.tolist()], np.stack([x, y], 1))
             j = both / (sizes[x] + sizes[y] - both)
             ok = j >= threshold - 1e-12
             found.append((p[ok], q[ok], j[ok]))
             rows += int(ok.sum())
         waiting.clear()
-        count = 0
 
     def out() -> pa.RecordBatch:
         nonlocal rows
         p, q, j = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
         rows = 0
-        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(j)], names=["doc_a", "doc_b", "jaccard"])
+        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(j)], names=["a", "b", "jaccard"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        token, a = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        key, a, n = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
         other = b.column(2).fill_null(0).to_numpy(zero_copy_only=False)
-        is_set = np.asarray(b.column(3).is_valid())
-        raw, offsets = K.column_bytes(b.column(3))
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(token)).tolist(), strict=True):
-            if token[lo] != now:
+        is_set = np.asarray(b.column(4).is_valid())
+        raw, offsets = K.column_bytes(b.column(4))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
+            if key[lo] != now:
                 judge()
-                now, held = int(token[lo]), {}
+                now, held = int(key[lo]), {}
             k = lo + int(is_set[lo:hi].sum())
-            for r in range(lo, k):  # a repeated row counts once
-                held[int(a[r])] = raw[offsets[r] : offsets[r + 1]].view(np.uint32).copy()
+            for r in range(lo, k):
+                held[int(a[r])] = int(n[r]), np.sort(raw[offsets[r] : offsets[r + 1]].view(np.uint64))
             if k < hi:
                 waiting.append((a[k:hi], other[k:hi]))
-                count += hi - k
-                if count >= PAIRS:
-                    judge()
-        if rows >= LIST_ROWS:
+        if rows >= 20_000:
             yield out()
     judge()
     if found:
         yield out()
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, prefix: int = PREFIX) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b of pairs whose n-gram sets have a Jaccard of at least ``threshold``.
+def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = LIST, group: int = GROUP, hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST) -> tuple[DataFrame, DataFrame]:
+    """Members (finger, n, doc_id), and pairs (a, b, jaccard), a < b, of different sets whose Jaccard is at least ``threshold``: all of them.
 
-    Of documents with equal sets the lowest id stands for all: it is paired with each of the others at 1.0, and it alone is paired
-    with documents of other sets (the pairs of the others are the same). Rows with null id or text and texts without words have no
-    pairs; repeated rows and rows that share an id with another text count under that id and are not paired with themselves;
-    an empty table gives an empty result; columns other than doc_id and text are not looked at.
+    Members has a row for each row of docs with an id; n is 0 where the text is null or has no words. ``most`` to ``hot_least`` say how work is cut up; no result depends on them.
     """
-    words = texts(docs, F.lower(F.col("text")))
-    index = words.mapInArrow(lambda it: _prefixes(it, n, prefix), "token bigint, pos int, doc_id bigint, n int, finger bigint, low binary")
-    candidates = index.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _candidates(it, threshold, prefix), "token bigint, a bigint, b bigint")
-    candidates = cut(candidates.where("a <> b"))
-    copies = candidates.where("token = -1").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    pairs = candidates.where("token <> -1").distinct()
-    asked = pairs.select("token", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = words.mapInArrow(lambda it: _sets(it, n), "doc_id bigint, grams binary")
-    sent = asked.hint("shuffle_merge").join(sets, "doc_id").select("token", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    both = sent.unionByName(pairs.withColumn("grams", F.lit(None).cast("binary"))).repartition("token").sortWithinPartitions("token", F.col("b").asc_nulls_first())
-    return both.mapInArrow(lambda it: _verify(it, threshold), "doc_a bigint, doc_b bigint, jaccard double").unionByName(copies).dropDuplicates(["doc_a", "doc_b"])
-
-
-def all_pairs(pairs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard): the pairs of ``similar_pairs`` with every document in place of the first of its text: k copies give k (k - 1) / 2 pairs.
-
-    Exact where each id has one text; rows of one id with several texts can't be told apart here.
+    spark = docs.sparkSession
+    words = texts(docs, F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    seen = shared_table(words.mapInArrow(lambda it: _members(it, n, hot_share), "hot boolean, key bigint, n bigint, doc_id bigint"), "members")
+    members = seen.where("NOT hot").select(F.col("key").alias("finger"), "n", "doc_id")
+    total = members.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    often = seen.where("hot").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(hot_least, hot_share / 2 * total[0])).collect()  # bounded by the share
+    hot = np.array([r["key"] for r in often], np.int64).view(np.uint64)
+    by = np.argsort(hot)
+    sent = spark.sparkContext.broadcast((hot[by], np.minimum(np.array([r["n"] for r in often], np.int64), 2**31).astype(np.uint32)[by]))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total[1]) // BUCKET_GRAMS))
+    packs = "part int, finger binary, n binary, gram binary, df binary"
+    grams = words.where("text <> ''").mapInArrow(lambda it: _by_gram(it, n, parts, *sent.value), packs).repartitionById(parts, "part")
+    shared = grams.mapInArrow(lambda it: _shared(it, parts), packs).repartitionById(parts, "part")
+    sets = shared_table(shared.mapInArrow(lambda it: _ordered(it, threshold), "finger bigint, n bigint, grams binary, dfs binary"), "sets")
+    del grams, shared
+    release(spark)
+    index = sets.mapInArrow(lambda it: _index(it, parts, most), _INDEX).repartitionById(parts, "part")
+    candidates = cut(index.mapInArrow(lambda it: _candidates(it, threshold, group), "key bigint, a bigint, b bigint"))
+    del index
+    release(spark)
+    asked = candidates.select("key", F.explode(F.array("a", "b")).alias("finger")).distinct()
+    sides = asked.hint("shuffle_merge").join(sets.select("finger", "n", "grams"), "finger").select("key", F.col("finger").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "grams")
+    both = sides.unionByName(candidates.select("key", "a", "b", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("grams")))
+    both = both.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
+    pairs = both.mapInArrow(lambda it: _verify(it, threshold), "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
+    return members, pairs
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **how: float) -> DataFrame:
+    """(doc_a, doc_b, jaccard) with doc_a < doc_b: all pairs of ids whose n-gram sets have a Jaccard of at least ``threshold``, copies with each other too.
+
+    k copies give k (k - 1) / 2 rows, so this is for tables without great groups of copies; ``classes`` says the same in a row a document.
+    Rows with null id or text and texts without words have no pairs, however long texts are they count whole, and short ones (under n
+    words) are one gram. Repeated rows, and rows that share an id, count under that id and are not paired with themselves; of an id's
+    several texts the most similar counts. An empty table gives an empty result; columns other than doc_id and text are not looked at.
     """
-    copies = pairs.where("jaccard = 1")
-    members = copies.select(F.col("doc_a").alias("_rep"), F.col("doc_a").alias("_id")).distinct().unionByName(copies.select(F.col("doc_a").alias("_rep"), F.col("doc_b").alias("_id")))
-    a, b = (members.select(F.col("_rep").alias(f"_rep_{x}"), F.col("_id").alias(f"_id_{x}")) for x in "ab")
-    within = a.join(b, F.col("_rep_a") == F.col("_rep_b")).where("_id_a < _id_b").select(F.col("_id_a").alias("doc_a"), F.col("_id_b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    across = pairs.where("jaccard < 1").join(a, F.col("doc_a") == F.col("_rep_a"), "left").join(b, F.col("doc_b") == F.col("_rep_b"), "left")
-    x, y = F.coalesce("_id_a", "doc_a"), F.coalesce("_id_b", "doc_b")
-    return within.unionByName(across.select(F.least(x, y).alias("doc_a"), F.greatest(x, y).alias("doc_b"), "jaccard"))
+    members, pairs = set_pairs(docs, n, threshold, **how)
+    of = members.where("n > 0").select("finger", "doc_id").distinct()
+    a, b = (of.select(F.col("finger").alias(x), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    within = a.join(b, F.col("a") == F.col("b")).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
+    across = pairs.join(a, "a").join(b, "b").where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    return within.unionByName(across).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
-    """(doc_id, first) for the documents in pairs: the lowest id of the connected group, by large-star and small-star rounds.
+    """(id, first) for what is in pairs (a, b): the lowest id of the connected group, by large-star and small-star rounds.
 
     Each round's edges are checkpointed in the shared folder; the number of rounds grows with the logarithm of a group's width.
     """
-    edges = cut(pairs.select(F.least("doc_a", "doc_b").alias("u"), F.greatest("doc_a", "doc_b").alias("v")).where("u <> v").distinct())
+    edges = cut(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -315,18 +504,48 @@ def groups(pairs: DataFrame) -> DataFrame:
         edges = cut(small.select(F.least("e.u", "e.v").alias("u"), F.greatest("e.u", "e.v").alias("v")).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("v").alias("doc_id"), F.col("u").alias("first"))
+            return edges.select(F.col("v").alias("id"), F.col("u").alias("first"))
         state = now
 
 
-def keep_first(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, prefix: int = PREFIX) -> DataFrame:
+def _classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(finger, class_id): the lowest doc_id of the group that a set is in."""
+    first = groups(pairs)
+    low = members.where("n > 0").groupBy("finger").agg(F.min("doc_id").alias("low"))
+    low = low.join(first, F.col("finger") == F.col("id"), "left").select("finger", "low", F.coalesce("first", "finger").alias("of"))
+    return low.join(low.groupBy("of").agg(F.min("low").alias("class_id")), "of").select("finger", "class_id")
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **how: float) -> DataFrame:
+    """(doc_id, class_id, links): of each document the lowest doc_id of the group of similar documents that it is in, and how many are similar to it.
+
+    Two documents are similar if the Jaccard of their n-gram sets is at least ``threshold``; a group is what such links connect. Links
+    are counted to all documents, copies and others; no link is lost, and none is sampled. Documents without words or with a null text,
+    and those like no other, are classes of their own with 0 links; rows with null id are left out; repeated rows give one row; an id
+    with several texts gives a row for each of its sets; an empty table gives an empty result; other columns are not looked at.
+    """
+    members, pairs = set_pairs(docs, n, threshold, **how)
+    pairs = shared_table(pairs, "pairs")
+    members = members.distinct()
+    count = members.where("n > 0").groupBy("finger").agg(F.count("*").alias("here"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = both.join(count, F.col("b") == F.col("finger")).groupBy("a").agg(F.sum("here").alias("there"))
+    of = _classes(members, pairs).join(count, "finger").join(more, F.col("finger") == F.col("a"), "left")
+    of = of.select("finger", "class_id", (F.col("here") - 1 + F.coalesce("there", F.lit(0))).alias("links"))
+    mine = members.where("n > 0").join(of, "finger").select("doc_id", "class_id", "links")
+    return mine.unionByName(members.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links")))
+
+
+def keep_first(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **how: float) -> DataFrame:
     """docs without all but the lowest doc_id of each group of similar documents.
 
-    Rows with null id or text stay; all columns of docs stay. Rows that repeat an id stay or go together.
+    Rows with null id or text and texts without words stay; all columns of docs stay, whatever their names. Rows that repeat an id stay or go together: they go
+    if any of their texts has a group with a lower id. Long texts count whole; an empty table stays empty.
     """
     of = fresh(docs, "_gone")
-    gone = groups(similar_pairs(docs, n, threshold, prefix)).select(F.col("doc_id").alias(of))
+    members, pairs = set_pairs(docs, n, threshold, **how)
+    gone = members.where("n > 0").join(_classes(members, pairs), "finger").where("class_id < doc_id").select(F.col("doc_id").alias(of)).distinct()
     return docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
 
 
-__all__ = ["groups", "keep_first", "overlaps", "similar_pairs"]
+__all__ = ["classes", "groups", "keep_first", "overlaps", "set_pairs", "similar_pairs"]

@@ -71,22 +71,26 @@ SELECT doc_id, CAST(min(s) AS INTEGER) AS start_word, CAST(max(s) + 50 AS INTEGE
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(read(spark, sf_dir, "documents"))
+    return ngram_join.classes(read(spark, sf_dir, "documents"))
 
 
 _OP7 = f"""
-WITH w AS (SELECT doc_id, {_WORDS.format("lower(text)")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("lower(text)")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
         ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS gram FROM w WHERE len(ws) > 0),
-s AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS fp FROM g GROUP BY doc_id),
-r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY fp) AS rep FROM s),
-o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT x AS doc_a, y AS doc_b, CAST(c AS DOUBLE) / (p.n + q.n - c) AS jaccard
-FROM o JOIN r p ON p.doc_id = x AND p.rep = x JOIN r q ON q.doc_id = y AND q.rep = y
-WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= 0.5
-UNION ALL SELECT rep, doc_id, CAST(1 AS DOUBLE) FROM r WHERE rep <> doc_id
+s AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS fp FROM g GROUP BY doc_id),
+c AS MATERIALIZED (SELECT fp, min(n) AS n, count(*) AS members, min(doc_id) AS low FROM s GROUP BY fp),
+u AS MATERIALIZED (SELECT fp, gram FROM g JOIN c ON c.low = g.doc_id),
+o AS (SELECT a.fp AS x, b.fp AS y, count(*) AS k FROM u a JOIN u b USING (gram) WHERE a.fp <> b.fp GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM o JOIN c p ON p.fp = x JOIN c q ON q.fp = y WHERE CAST(k AS DOUBLE) / (p.n + q.n - k) >= 0.5),
+r(fp, other) AS (SELECT fp, fp FROM c UNION SELECT r.fp, e.y FROM r JOIN e ON r.other = e.x),
+k AS (SELECT r.fp, min(c.low) AS class_id FROM r JOIN c ON c.fp = r.other GROUP BY 1),
+l AS (SELECT x AS fp, sum(members) AS more FROM e JOIN c ON c.fp = y GROUP BY 1)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(members - 1 + coalesce(more, 0), 0) AS BIGINT) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN c ON c.fp = s.fp LEFT JOIN k ON k.fp = s.fp LEFT JOIN l ON l.fp = s.fp
 """
 
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the payload's bytes, for the digests stand for them."""
     return warc.chunk_table(read(spark, sf_dir, "pages")).drop("payload")

@@ -48,41 +48,82 @@ def grams(text: str) -> set:
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
 
 
-def test_similar_pairs(docs, awkward, nothing):
-    sets = collections.defaultdict(list)
-    for i, t, *_ in rows():
+def brute(data: list[tuple]) -> dict:
+    """Similarities of at least a half of all pairs of ids."""
+    sets = collections.defaultdict(set)
+    for i, t, *_ in data:
         if i is not None and t is not None and grams(t):
-            sets[i].append(grams(t))
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.similar_pairs(docs).collect()}
-    rep = {}
-    for i in sorted(sets):
-        for s in sets[i]:
-            rep.setdefault(frozenset(s), i)
-    want = {}
+            sets[i].add(frozenset(grams(t)))
+    out = {}
     for i in sets:
         for j in sets:
-            for a in sets[i]:
-                for b in sets[j]:
-                    s = len(a & b) / len(a | b)
-                    if i < j and s >= 0.5 and (a == b and rep[frozenset(a)] == i or a != b and rep[frozenset(a)] == i and rep[frozenset(b)] == j):
-                        want[i, j] = s
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
-    assert {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(awkward).collect()} == set(want)
-    assert ngram_join.similar_pairs(nothing).count() == 0
+            s = max(len(a & b) / len(a | b) for a in sets[i] for b in sets[j])
+            if i < j and s >= 0.5:
+                out[i, j] = s
+    return out
+
+
+def grouped(ids: set, pairs: dict) -> dict:
+    """The lowest id of each one's group."""
+    of = {i: i for i in ids}
+    while True:
+        low = dict(of)
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == of:
+            return of
+        of = low
+
+
+CUT_UP = [{}, {"most": 3, "group": 2}, {"hot_share": 0.01, "hot_least": 2, "most": 4}]  # lists in cells, groups in parts, hot grams
+
+
+@pytest.mark.parametrize("how", CUT_UP)
+def test_similar_pairs(docs, awkward, nothing, how):
+    want = brute(rows())
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.similar_pairs(docs, **how).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(awkward, **how).collect()} == set(want)
+    assert ngram_join.similar_pairs(nothing, **how).count() == 0
+
+
+def test_classes(docs, awkward, nothing):
+    pairs = brute(rows())
+    ids = {r[0] for r in rows()} - {None}
+    first = grouped(ids, pairs)
+    links = collections.Counter(x for p in pairs for x in p)
+    for table in (docs, awkward):
+        got = ngram_join.classes(table).collect()
+        assert {(r.doc_id, r.class_id, r.links) for r in got if r.doc_id != 2} == {(i, first[i], links[i]) for i in ids - {2}}
+        assert [(r.class_id, r.links) for r in got if r.doc_id == 2] == [(2, 0)] * 2  # two texts, two sets
+    assert ngram_join.classes(nothing).count() == 0
     kept = ngram_join.keep_first(awkward)
     assert kept.columns == awkward.columns
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows()} - {20, 21, 24, 34}
-
-
-def test_all_pairs(spark):
-    data = [(i, prose(3000, 100)) for i in (1, 5, 7)] + [(i, prose(3000, 99) + " other") for i in (3, 6)] + [(4, prose(3001, 100))]
-    sets = {i: grams(t) for i, t in data}
-    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], DOCS)
-    got = ngram_join.all_pairs(ngram_join.similar_pairs(docs)).collect()
-    assert len(got) == 10 and {(r.doc_a, r.doc_b) for r in got} == {k for k, s in want.items() if s >= 0.5}
-    assert all(abs(r.jaccard - want[r.doc_a, r.doc_b]) < 1e-12 for r in got)
+    assert {r.doc_id for r in kept.collect()} == {None} | {i for i in ids if first[i] == i}
+    assert ngram_join.keep_first(nothing).count() == 0
+
+
+@pytest.mark.parametrize("how", CUT_UP)
+def test_no_planted_pair_is_lost(spark, how):
+    r, data = random.Random(17), []
+    base = [prose(8000 + k, 60).split() for k in range(8)]
+    boiler = prose(7999, 40)
+    for i in range(160):  # copies at all distances about the threshold, with a passage that all share, in groups of twenty
+        w = list(base[i % 8])
+        for _ in range(r.choice((0, 1, 3, 5, 6, 7, 8))):
+            w[r.randrange(len(w))] = r.choice(WORDS) + "x"
+        data.append((i, " ".join(w[: r.choice((60, 60, 40))]) + " " + boiler * (i % 3 > 0), "en", "s", 1))
+    want = brute(data)
+    assert len(want) > 500 and sum(s < 0.55 for s in want.values()) > 20
+    got = {(x.doc_a, x.doc_b): x.jaccard for x in ngram_join.similar_pairs(spark.createDataFrame(data, DOCS), **how).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_overlaps():
+    r = random.Random(3)
+    sets = [np.array(sorted(r.sample(range(300), r.randrange(5, 90))), np.uint64) for _ in range(40)] + [np.arange(10, 60, dtype=np.uint64)] * 2
+    wanted = np.array([(i, j) for i in range(42) for j in range(i)])
+    assert ngram_join.overlaps(sets, wanted).tolist() == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in wanted]
 
 
 def spans(texts: list[tuple[int, str]], least: int) -> set:
