@@ -7,7 +7,7 @@ as its members: copies, however many, cost one row each. The steps:
 1. Grams travel once, packed by bucket, and those that only one set has end there. A similar pair's common grams are all in two sets
    or more, so what is left suffices for exact overlaps. Grams that a great share of all sets have are found first (a list bounded by
    that share, not by the input), and don't travel: no bucket gets a hot gram's list here.
-2. A set's grams are ordered by the number of sets that have them, and it is indexed under the first n - ceil(t n) + 1 of this order:
+2. A set's grams are ordered by the number of sets that have them (in quarters of its logarithm), and it is indexed under the first n - ceil(t n) + 1 of this order:
    similar sets share one of these, so nothing is lost. Sets whose rare grams fill that prefix are similar to none.
 3. An index list is sorted by set size and cut into blocks. Blocks whose sizes rule out the threshold are skipped, and within the
    others pairs by the gram's positions: what precedes and what follows it in both sets bounds the overlap. A list of more than ``LIST`` sets is split into
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import kernels as K
-from symgraph.llm.tables import cut, fresh, release, shared_table, texts
+from symgraph.llm.tables import cut, drop_table, fresh, release, shared_table, texts
 
 N, THRESHOLD, BLOCK, SKETCH = 3, 0.5, 512, 12
 #: Sets of an index list that one task takes, sets of a list that are counted together, and bytes of a postings table.
@@ -111,44 +111,63 @@ def packed(buckets: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(b[heads].astype(np.int32)), *(K.binaries(c[order], counts) for c in columns)]
 
 
-def gathered(batches: Iterator[pa.RecordBatch], *types: type) -> list[np.ndarray]:
-    """All entries of a partition of packed rows."""
-    parts: list[list[np.ndarray]] = [[] for _ in types]
+def packed_sets(buckets: np.ndarray, fingers: np.ndarray, sizes: np.ndarray, grams: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+    """Packed (fingerprint, size, grams here) of sets, and (gram, class) of their grams. The rows of a set in a bucket stand together."""
+    order = np.argsort(buckets, kind="stable")
+    bucket, finger = buckets[order], fingers[order]
+    head = np.append(True, (bucket[1:] != bucket[:-1]) | (finger[1:] != finger[:-1])) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(head)
+    here = np.diff(np.append(at, len(order))).astype(np.uint32)
+    left = packed(bucket[at], finger[at], sizes[order][at].astype(np.int32), here)
+    return pa.RecordBatch.from_arrays([*left, *packed(bucket, grams[order], classes[order])[1:]], names=["part", "finger", "n", "here", "gram", "class"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """(fingerprint, size, gram, class), an entry a gram, of all packed rows of a partition."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
     for b in batches:
-        for k, t in enumerate(types):
+        for k, t in enumerate((np.int64, np.int32, np.uint32, np.uint64, np.uint8)):
             parts[k].append(K.column_bytes(b.column(k + 1))[0].view(t))
-    return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, types, strict=True)]
+    finger, n, here, gram, kind = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.int64, np.int32, np.uint32, np.uint64, np.uint8), strict=True))
+    return [np.repeat(finger, here), np.repeat(n, here), gram, kind]
+
+
+def frequency_class(df: np.ndarray) -> np.ndarray:
+    """0 for none, else 1 and the quarters of the logarithm: grams are ordered by this, not by the number itself."""
+    return np.where(df > 0, 1 + np.floor(4 * np.log2(np.maximum(df, 1)) + 1e-9), 0).astype(np.uint8)
 
 
 def _by_gram(batches: Iterator[pa.RecordBatch], n: int, parts: int, hot: np.ndarray, hot_n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed (fingerprint, size, gram, sets that have it: 0 where that is to be counted)."""
+    """Packed (fingerprint, size, gram, class: 0 where the sets that have it are to be counted)."""
     for _, fingers, sizes, grams in _packs(batches, n):
         fingers, sizes, grams = _distinct(fingers, sizes, grams)
         of = np.repeat(np.arange(len(fingers)), sizes)
-        df = np.zeros(len(grams), np.uint32)
+        kind = np.zeros(len(grams), np.uint8)
         bucket = grams % K.U64(parts)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
             is_hot = hot[at] == grams
-            df[is_hot] = hot_n[at[is_hot]]
+            kind[is_hot] = frequency_class(hot_n)[at[is_hot]]
             bucket[is_hot] = fingers[of[is_hot]].view(K.U64) % K.U64(parts)
-        yield pa.RecordBatch.from_arrays(packed(bucket, fingers[of], sizes[of].astype(np.int32), grams, df), names=["part", "finger", "n", "gram", "df"])
+        yield packed_sets(bucket, fingers[of], sizes[of], grams, kind)
 
 
 def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """What several sets have, with the number of these, packed by set."""
-    finger, n, gram, df = gathered(batches, np.int64, np.int32, np.uint64, np.uint32)
+    """What several sets have, with the class of their number, packed by set."""
+    finger, n, gram, kind = gathered(batches)
     order = np.lexsort((finger, gram))
-    finger, n, gram, df = finger[order], n[order], gram[order], df[order]
+    finger, n, gram, kind = finger[order], n[order], gram[order], kind[order]
     once = np.ones(len(gram), bool)
     once[1:] = (gram[1:] != gram[:-1]) | (finger[1:] != finger[:-1])
-    finger, n, gram, df = finger[once], n[once], gram[once], df[once]
+    finger, n, gram, kind = finger[once], n[once], gram[once], kind[once]
     heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
     size = np.diff(np.append(heads, len(gram)))
-    df = np.where(df > 0, df, np.repeat(size, size)).astype(np.uint32)
-    keep = df > 1
-    finger, n, gram, df = finger[keep], n[keep], gram[keep], df[keep]
-    yield pa.RecordBatch.from_arrays(packed(finger.view(np.uint64) % np.uint64(parts), finger, n, gram, df), names=["part", "finger", "n", "gram", "df"])
+    keep = (kind > 0) | np.repeat(size > 1, size)
+    kind = np.where(kind > 0, kind, np.repeat(frequency_class(size), size))[keep]
+    finger, n, gram = finger[keep], n[keep], gram[keep]
+    order = np.argsort(finger, kind="stable")
+    finger = finger[order]
+    yield packed_sets(finger.view(np.uint64) % np.uint64(parts), finger, n[order], gram[order], kind[order])
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -157,12 +176,12 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
 
 def _ordered(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Sets that can have partners: grams that others have too, the rarest first, of which ``q`` are indexed."""
-    finger, n, gram, df = gathered(batches, np.int64, np.int32, np.uint64, np.uint32)
-    order = np.lexsort((gram, df, finger))
-    finger, n, gram, df = finger[order], n[order], gram[order], df[order]
+    finger, n, gram, kind = gathered(batches)
+    order = np.lexsort((gram, kind, finger))
+    finger, n, gram, kind = finger[order], n[order], gram[order], kind[order]
     once = np.ones(len(gram), bool)
     once[1:] = (gram[1:] != gram[:-1]) | (finger[1:] != finger[:-1])
-    finger, n, gram, df = finger[once], n[once], gram[once], df[once]
+    finger, n, gram, kind = finger[once], n[once], gram[once], kind[once]
     heads = np.flatnonzero(np.append(True, finger[1:] != finger[:-1])) if len(gram) else np.zeros(0, np.int64)
     r = np.diff(np.append(heads, len(gram)))
     size = n[heads].astype(np.int64)
@@ -171,10 +190,10 @@ def _ordered(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
     keep = np.repeat(good, r)
     every = K.binaries(gram[keep], r[good])
     first = keep & (np.arange(len(gram)) - np.repeat(heads, r) < np.repeat(q, r))
-    counts = K.binaries(df[first], np.minimum(q, r)[good])
+    counts = K.binaries(kind[first], np.minimum(q, r)[good])
     for lo in range(0, int(good.sum()), 2000):
         s = slice(lo, lo + 2000)
-        yield pa.RecordBatch.from_arrays([pa.array(finger[heads][good][s]), pa.array(size[good][s]), every.slice(lo, 2000), counts.slice(lo, 2000)], names=["finger", "n", "grams", "dfs"])
+        yield pa.RecordBatch.from_arrays([pa.array(finger[heads][good][s]), pa.array(size[good][s]), every.slice(lo, 2000), counts.slice(lo, 2000)], names=["finger", "n", "grams", "classes"])
 
 
 def _index(batches: Iterator[pa.RecordBatch], parts: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -187,7 +206,7 @@ def _index(batches: Iterator[pa.RecordBatch], parts: int, most: int) -> Iterator
         grams, starts = raw.view(np.uint64), at[:-1] // 8
         r = np.diff(at) // 8
         raw, at = K.column_bytes(b.column(3))
-        df, q = raw.view(np.uint32).astype(np.int64), np.diff(at) // 4
+        most_sets, q = np.ceil(2.0 ** (raw.astype(np.float64) / 4)), np.diff(at)
         row = np.repeat(np.arange(len(n)), q)
         rank = np.arange(len(row)) - np.repeat(np.cumsum(q) - q, q)
         gram = grams[starts[row] + rank]
@@ -196,7 +215,7 @@ def _index(batches: Iterator[pa.RecordBatch], parts: int, most: int) -> Iterator
         low = order[rank < SKETCH]  # rank runs over each row alike, whatever the order within
         sketch = np.full((len(n), SKETCH), np.iinfo(np.uint64).max)
         sketch[row[low], rank[rank < SKETCH]] = gram[low]
-        split = -(-df // most)
+        split = np.maximum(1, np.ceil(most_sets / most)).astype(np.int64)
         mine = K.mix(finger[row].view(np.uint64)) % split.astype(np.uint64)
         again = np.repeat(np.arange(len(row)), split)  # once for each part of the list, its own too
         other = np.arange(len(again)) - np.repeat(np.cumsum(split) - split, split)
@@ -454,11 +473,13 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: i
     by = np.argsort(hot)
     sent = spark.sparkContext.broadcast((hot[by], np.minimum(np.array([r["n"] for r in often], np.int64), 2**31).astype(np.uint32)[by]))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total[1]) // BUCKET_GRAMS))
-    packs = "part int, finger binary, n binary, gram binary, df binary"
+    packs = "part int, finger binary, n binary, here binary, gram binary, class binary"
     grams = words.where("text <> ''").mapInArrow(lambda it: _by_gram(it, n, parts, *sent.value), packs).repartitionById(parts, "part")
-    shared = grams.mapInArrow(lambda it: _shared(it, parts), packs).repartitionById(parts, "part")
-    sets = shared_table(shared.mapInArrow(lambda it: _ordered(it, threshold), "finger bigint, n bigint, grams binary, dfs binary"), "sets")
-    del grams, shared
+    shared = shared_table(grams.mapInArrow(lambda it: _shared(it, parts), packs), "shared-grams")
+    del grams
+    release(spark)
+    sets = shared_table(shared.repartitionById(parts, "part").mapInArrow(lambda it: _ordered(it, threshold), "finger bigint, n bigint, grams binary, classes binary"), "sets")
+    drop_table(shared)
     release(spark)
     index = sets.mapInArrow(lambda it: _index(it, parts, most), _INDEX).repartitionById(parts, "part")
     candidates = cut(index.mapInArrow(lambda it: _candidates(it, threshold, group), "key bigint, a bigint, b bigint"))

@@ -152,7 +152,7 @@ def spans(texts: list[tuple[int, str]], least: int) -> set:
 
 
 def test_repeated_spans(spark, docs, awkward, nothing):
-    plain = [(i, t) for i, t, *_ in rows() if i is not None and t is not None and i != 2]
+    plain = [(i, t) for i, t, *_ in rows() if i is not None and t is not None]
     some = spark.createDataFrame([(i, t, None, None, None) for i, t in plain], DOCS)
     assert {tuple(r) for r in suffix_dedup.repeated_spans(some).collect()} == spans(plain, 50)
     loop = [(1, " ".join(["one", "two", "three"] * 60)), (2, prose(3, 90)), (3, prose(3, 90))]
@@ -162,6 +162,11 @@ def test_repeated_spans(spark, docs, awkward, nothing):
     assert out.columns == awkward.columns
     texts = {r.doc_id: r for r in out.collect()}
     assert 20 not in texts and texts[23].text.split() == prose(52, 30).split() and texts[23].n_chars == len(texts[23].text)
+    assert [x.text for x in out.collect() if x.doc_id == 2] == [t for i, t, *_ in rows() if i == 2]
+    apart = [(1, prose(1, 100)), (2, prose(1, 100)), (2, prose(9, 100)), (3, prose(1, 100)), (3, prose(1, 100))]  # an id with two texts
+    left = suffix_dedup.without_copies(spark.createDataFrame([(*x, None, None, None) for x in apart], DOCS)).collect()
+    assert sorted((x.doc_id, x.text) for x in left) == sorted([apart[0], apart[2]])
+    assert suffix_dedup.without_copies(nothing).count() == 0
     assert texts[35].text is None and texts[30].text == "" and texts[24].text == prose(900, 70).upper()
 
 
@@ -208,15 +213,24 @@ def test_nearest(spark):
     data = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (None, x[0].tolist()), (900, None), (901, []), (902, [float("nan")] * 6), (903, [1.0, 2.0])]
     table = spark.createDataFrame([(*d, "s", 1) for d in data], "vec_id bigint, embedding array<float>, shard string, rank int")
     got = collections.defaultdict(list)
-    for r in sorted(knn.nearest(table, 4, leaf=16, shard_rows=70).collect(), key=lambda r: (r.vec_id, r.rank)):
+    for r in sorted(knn.nearest(table, k=4, leaf=16, shard_rows=70).collect(), key=lambda r: (r.vec_id, r.rank)):
         got[r.vec_id].append((r.neighbour, round(r.distance, 9)))
     y = x.astype(float)
-    for i in range(300):
+
+    def want(i: int) -> list:
         d = ((y - y[i]) ** 2).sum(1)
-        order = [j for j in np.lexsort((np.arange(300), d)) if j != i][:4]
-        assert got[i] == [(int(j), round(float(np.sqrt(d[j])), 9)) for j in order]
-    assert set(got) == set(range(300))
-    assert knn.nearest(table.limit(0)).count() == 0
+        return [(int(j), round(float(np.sqrt(d[j])), 9)) for j in np.lexsort((np.arange(300), d)) if j != i][:4]
+
+    assert all(got[i] == want(i) for i in range(300)) and set(got) == set(range(300))
+    some = collections.defaultdict(list)
+    for r in sorted(knn.nearest(table, table.where("vec_id % 50 = 0 OR vec_id IS NULL"), k=4, leaf=16, shard_rows=20, sample=64).collect(), key=lambda r: (r.vec_id, r.rank)):
+        some[r.vec_id].append((r.neighbour, round(r.distance, 9)))
+    assert some == {i: want(i) for i in range(0, 300, 50)}
+    assert knn.nearest(table.limit(0)).count() == 0 and knn.nearest(table, table.limit(0)).count() == 0
+    assert knn.nearest(table.where("vec_id = 3")).count() == 0  # one row has no neighbour
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(90)], "vec_id bigint, embedding array<float>")  # one point, several shards
+    near = knn.nearest(same, k=3, leaf=8, shard_rows=20).collect()
+    assert len(near) == 270 and {(r.neighbour, r.rank) for r in near if r.vec_id == 50} == {(0, 1), (1, 2), (2, 3)} and {r.neighbour for r in near if r.vec_id == 1} == {0, 2, 3}
 
 
 def test_toxicity(spark, nothing):
