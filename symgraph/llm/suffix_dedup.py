@@ -48,8 +48,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> It
             words, _, first = K.word_hashes(raw, offsets)
             rows = K.row_of(first, len(words))
             at, hashes = anchors(words, rows, least, gram)
-            ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows[at]].astype(np.int64)), pa.array((at - first[rows[at]]).astype(np.int32))], names=["h", "doc_id", "pos"])
+            ids, keys = (b.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64)[rows[at]] for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((at - first[rows[at]]).astype(np.int32))], names=["h", "doc_id", "key", "pos"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
     left, width = least - gram, 2 * least - gram
     for b in batches:
-        at_all = b.column(2)
+        at_all = b.column(3)
         for lo, hi, raw, offsets in K.slices(b.column(1)):
             words, _, first = K.word_hashes(raw, offsets)
             lists = at_all.slice(lo, hi - lo)
@@ -75,12 +75,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Itera
             fits = pos + gram <= counts[row]
             row, pos, h = row[fits], pos[fits], h[fits]
             start = first[row] + pos
-            if len(start):  # the hash must be that of these words: a repeated id may be of another text
+            if len(start):
                 grams = K.gram_hashes(words, gram)
-                true = grams[start].view(np.int64) == h
-                row, pos, h, start = row[true], pos[true], h[true], start[true]
                 grams = np.concatenate([np.zeros(left, K.U64), grams, np.zeros(left, K.U64)])
-            ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+            ids, keys = (b.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
             before, after = np.minimum(pos, left), np.minimum(counts[row] - pos, least)
             for c in range(0, len(start), 8192):  # a window counts where this anchor is its lowest, as it then is in all equal windows
                 s = slice(c, c + 8192)
@@ -94,8 +92,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Itera
                 around = short[start[s, None] + np.arange(width)]
                 around[(np.arange(width) < left - before[s, None]) | (np.arange(width) >= left + after[s, None])] = 0  # no window reaches these
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[s]), pa.array(ids[row[s]].astype(np.int64)), pa.array(pos[s].astype(np.int32)), pa.array(before[s].astype(np.int32)), pa.array(after[s].astype(np.int32)), K.binaries(around.reshape(-1), np.full(len(around), width))],
-                    names=["h", "doc_id", "pos", "before", "after", "around"],
+                    [pa.array(h[s]), pa.array(ids[row[s]]), pa.array(keys[row[s]]), pa.array(pos[s].astype(np.int32)), pa.array(before[s].astype(np.int32)), pa.array(after[s].astype(np.int32)), K.binaries(around.reshape(-1), np.full(len(around), width))],
+                    names=["h", "doc_id", "key", "pos", "before", "after", "around"],
                 )
 
 
@@ -170,8 +168,8 @@ class Suffixes:
         return out
 
 
-def window_spans(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, around: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(doc, start, end, copy) of unions of repeated windows that hold each anchor. Rows in the order of (group, doc, pos), none twice."""
+def window_spans(group: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, around: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(doc, key, start, end, copy) of unions of repeated windows that hold each anchor. Rows in the order of (group, doc, key, pos), none twice."""
     left, n = least - gram, len(group)
     suffixes = Suffixes(around[:, left:])
     order = suffixes.sort(group)
@@ -183,10 +181,10 @@ def window_spans(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np
         run = np.empty(n, np.int64)
         run[order] = np.cumsum(common < least - l)
         live = np.flatnonzero((before >= l) & (after >= least - l))
-        key = K.mix(run[live].astype(K.U64) * K.BASE ^ behind[live, l])
-        by = np.argsort(key, kind="stable")
-        live, key = live[by], key[by]
-        head = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        kind_of = K.mix(run[live].astype(K.U64) * K.BASE ^ behind[live, l])
+        by = np.argsort(kind_of, kind="stable")
+        live, kind_of = live[by], kind_of[by]
+        head = np.append(True, kind_of[1:] != kind_of[:-1]) if len(kind_of) else np.zeros(0, bool)
         first = live[np.maximum.accumulate(np.where(head, np.arange(len(live)), 0))] if len(live) else live
         alone = head & np.append(head[1:], True) if len(head) else head
         live, first, head = live[~alone], first[~alone], head[~alone]
@@ -199,37 +197,50 @@ def window_spans(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np
     out = []
     for kind in (0, 1):
         r = np.flatnonzero(far[kind] >= 0)
-        out.append((doc[r], pos[r] - far[kind, r], pos[r] + least - near[kind, r], np.full(len(r), kind == 1)))
+        out.append((doc[r], key[r], pos[r] - far[kind, r], pos[r] + least - near[kind, r], np.full(len(r), kind == 1)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _windows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
     width = 2 * least - gram
     for b in K.whole_groups(batches, "h", 20_000):
-        h, doc, pos, before, after = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-        around = K.column_bytes(b.column(5))[0].view(np.uint32).reshape(-1, width)
-        order = np.lexsort((pos, doc, h))
-        h, doc, pos = h[order], doc[order], pos[order]
+        h, doc, key, pos, before, after = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+        around = K.column_bytes(b.column(6))[0].view(np.uint32).reshape(-1, width)
+        order = np.lexsort((pos, key, doc, h))
+        h, doc, key, pos = h[order], doc[order], key[order], pos[order]
         once = np.ones(len(h), bool)
-        once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+        once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
         order = order[once]
         h = h[once]
         group = np.cumsum(np.append(True, h[1:] != h[:-1])) if len(h) else h
-        d, s, e, copy = window_spans(group, doc[once], pos[once], before[order], after[order], around[order], least, gram)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(copy)], names=["doc_id", "start_word", "end_word", "copy"])
+        d, k, s, e, copy = window_spans(group, doc[once], key[once], pos[once], before[order], after[order], around[order], least, gram)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(copy)], names=["doc_id", "key", "start_word", "end_word", "copy"])
 
 
 def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in K.whole_groups(batches, "doc_id", 20_000):
-        doc, s, e, copy = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-        order = np.lexsort((s, copy, doc))
-        doc, s, e, copy = doc[order], s[order], e[order], copy[order]
-        part = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])))
+        doc, key, s, e, copy = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+        order = np.lexsort((s, copy, key, doc))
+        doc, key, s, e, copy = doc[order], key[order], s[order], e[order], copy[order]
+        part = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (copy[1:] != copy[:-1])))
         reach = np.maximum.accumulate(e + part * (1 << 40))
         head = np.append(True, s[1:] + part[1:] * (1 << 40) > reach[:-1])
         at = np.flatnonzero(head)
         last = np.append(at[1:], len(doc)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(s[at].astype(np.int32)), pa.array((reach[last] - part[last] * (1 << 40)).astype(np.int32)), pa.array(copy[at] == 1)], names=["doc_id", "start_word", "end_word", "copy"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(key[at]), pa.array(s[at].astype(np.int32)), pa.array((reach[last] - part[last] * (1 << 40)).astype(np.int32)), pa.array(copy[at] == 1)], names=["doc_id", "key", "start_word", "end_word", "copy"])
+
+
+def _spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, key, start_word, end_word, copy); key is the text's hash, so rows that share an id with other texts are told apart."""
+    spans_type = "doc_id bigint, key bigint, start_word int, end_word int, copy boolean"
+    text = texts(docs).withColumn("key", F.xxhash64("text"))
+    found = text.mapInArrow(lambda it: _anchor_rows(it, least, gram), "h bigint, doc_id bigint, key bigint, pos int")
+    found = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h bigint, doc_id bigint, key bigint, pos int")
+    asked = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+    around = text.hint("shuffle_merge").join(asked, ["doc_id", "key"]).select("doc_id", "text", "key", "at")
+    around = around.mapInArrow(lambda it: _contexts(it, least, gram), "h bigint, doc_id bigint, key bigint, pos int, before int, after int, around binary")
+    spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _windows(it, least, gram), spans_type)
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_islands, spans_type)
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -237,17 +248,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
 
     copy is false for spans of windows that are the first of their kind (lowest doc_id, then position) and true for the others, so a
     passage may be in a span of either kind. Rows with null id or text, and texts of fewer than ``least`` words, have no spans; rows
-    that repeat an id count as one occurrence; an empty table gives an empty result; other columns are not looked at.
+    that repeat an id and its text count as one occurrence, and texts that share an id are texts of their own, the order among them that of their hashes;
+    long texts count whole; an empty table gives an empty result; other columns are not looked at.
     """
-    spans_type = "doc_id bigint, start_word int, end_word int, copy boolean"
-    text = texts(docs)
-    found = text.mapInArrow(lambda it: _anchor_rows(it, least, gram), "h bigint, doc_id bigint, pos int")
-    found = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h bigint, doc_id bigint, pos int")
-    asked = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
-    around = text.hint("shuffle_merge").join(asked, "doc_id").select("doc_id", "text", "at")
-    around = around.mapInArrow(lambda it: _contexts(it, least, gram), "h bigint, doc_id bigint, pos int, before int, after int, around binary")
-    spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _windows(it, least, gram), spans_type)
-    return spans.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_islands, spans_type)
+    return _spans(docs, least, gram).drop("key")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], named: str) -> Iterator[pa.RecordBatch]:
@@ -275,13 +279,14 @@ def _cut(batches: Iterator[pa.RecordBatch], named: str) -> Iterator[pa.RecordBat
 def without_copies(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """docs with the copies of repeated passages cut out of text; the first of each passage stays.
 
-    A document of which no word is left goes; all others stay, those with null id or text as they are. n_chars, where docs has it as
-    a column, is counted anew for changed texts. All columns of docs stay, in their order.
+    A document of which no word is left goes; all others stay, those with null id or text and empty ones as they are. Rows that repeat an id and its text are
+    cut alike, and rows that share an id with other texts are each cut by their own spans. n_chars, where docs has it as
+    a column, is counted anew for changed texts. All columns of docs stay, in their order; an empty table stays empty.
     """
     names = docs.columns
-    at, of = fresh(docs, "_spans"), fresh(docs, "_of")
-    cuts = repeated_spans(docs, least, gram).where("copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias(at)).withColumnRenamed("doc_id", of)
-    both = docs.join(cuts, F.col("doc_id") == F.col(of), "left").select(*[f"`{n}`" for n in names], at)
+    at, of, key = fresh(docs, "_spans"), fresh(docs, "_of"), fresh(docs, "_key")
+    cuts = _spans(docs, least, gram).where("copy").groupBy(F.col("doc_id").alias(of), F.col("key").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(at))
+    both = docs.join(cuts, (F.col("doc_id") == F.col(of)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key)), "left").select(*[f"`{n}`" for n in names], at)
     out = both.mapInArrow(lambda it: _cut(it, at), both.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
