@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -21,13 +22,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests in local mode) a temporary folder is made and set.
+    Only where that is unset, and the session is one process (a test), a temporary folder is made and set; elsewhere it is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="symgraph-checkpoint-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -52,9 +55,14 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver drop shuffle files of plans that nobody holds any more; else they stay until its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver drop shuffle files of plans that nobody holds any more; else they stay until its next collection.
+
+    The plan that ran last is held a little longer, by the events that tell of its end, hence the second time.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def cut(df: DataFrame) -> DataFrame:
