@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +12,11 @@ LANGUAGES = {
     "py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "go": "go", "rs": "rust", "java": "java",
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "php": "php", "rb": "ruby", "swift": "swift", "kt": "kotlin", "dart": "dart",
 }
-TEST_NAME = r"(?i)(^|/)(test_[^/]*|[^/]*[_.-](test|tests|spec|specs))\.[^/.]+$"
-TEST_CAMEL = r"(^|/)[^/]*[a-z0-9](Test|Tests|Spec|Specs)\.[^/.]+$"
-TEST_DIR = r"(?i)(^|/)(tests?|__tests__|specs?|testing|integration|samples?|examples?|fixtures?|benchmarks?|demos?)/"
+TEST_NAME = r"(?i)(^|/)(test_[^/]*|tests?|[^/]*[_.](test|spec)s?)\.\w+$"
+TEST_CAMEL = r"(^|/)[^/]*(Test(s|Case|er)?|Specs?)\.\w+$"
+_TEST_DIRS = ("tests?", "specs?", "__tests__", "testdata", "testlib", "testing", "mocks?", "fixtures?")
+_SIDE_DIRS = ("integration", "samples?", "examples?", "benchmarks?", "demos?")
+TEST_DIR = "(?i)(^|/)(" + "|".join(_TEST_DIRS + _SIDE_DIRS) + ")/"
 LIFECYCLE = ("setUp", "tearDown", "setUpClass", "tearDownClass", "setup_method", "teardown_method", "setup_class", "teardown_class", "setup_module", "teardown_module")
 
 
@@ -55,21 +60,30 @@ def proximity(a: Column, b: Column) -> Column:
     return F.least(15 * shared["n"], F.lit(80))
 
 
-KIND_BONUS = {"function": 10, "method": 10, "class": 9, "interface": 9, "struct": 9, "route": 8, "enum": 7, "type_alias": 6, "constant": 5, "variable": 4, "property": 4, "field": 3, "import": 1, "file": 0}
+KIND_BONUS = {10: "function method", 9: "interface trait protocol route", 8: "class component", 6: "type_alias struct", 5: "enum", 4: "module namespace", 3: "constant property field enum_member", 2: "variable", 1: "import export"}
 
 
 def kind_bonus(kind: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in KIND_BONUS.items() for x in pair]), kind), F.lit(0))
+    """What a symbol's kind adds to its score in a search."""
+    table = F.create_map(*[F.lit(x) for n, kinds in KIND_BONUS.items() for k in kinds.split() for x in (k, n)])
+    return F.coalesce(F.try_element_at(table, kind), F.lit(0))
 
 
 def name_bonus(name: Column, query: str) -> Column:
-    """80 for the name itself, 60 with words joined, 10 to 40 for a beginning, 15 if it has all words, 10 if it has the query."""
-    q, low = query.lower(), F.lower(name)
-    words = [w for w in q.replace("_", " ").split() if w]
-    every = F.lit(bool(words))
-    for w in words:
-        every = every & low.contains(w)
-    return (
-        F.when(low == q, 80).when(F.regexp_replace(low, "[_ ]", "") == q.replace("_", "").replace(" ", ""), 60)
-        .when(low.startswith(q), F.bround(10 + 30 * F.lit(float(len(q))) / F.length(name)).cast("int")).when(every, 15).when(low.contains(q), 10).otherwise(0)
-    )
+    """80 for the query run together, 60 for one of its several words, 10 to 40 for a name that begins so, 15 for one with all parts of its words, 10 for one with it inside."""
+    low, joined = F.lower(name), re.sub(r"\s+", "", query).lower()
+    words = [w.lower() for w in query.split() if len(w) > 1]
+    parts = [p.lower() for p in re.split(r"[\s_.\-]+", re.sub("([a-z])([A-Z])", r"\1 \2", query)) if len(p) > 1]
+    out = F.when(low == joined, 80)
+    if len(words) > 1:
+        out = out.when(low.isin(words), 60)
+    out = out.when(low.startswith(joined), F.bround(10 + 30 * F.lit(float(len(joined))) / F.length(name)).cast("int"))
+    if len(parts) > 1:
+        out = out.when(functools.reduce(lambda a, b: a & b, [low.contains(p) for p in parts]), 15)
+    return out.when(low.contains(joined), 10).otherwise(0)
+
+
+def camel_words(text: Column) -> Column:
+    """Lower-cased words of more than one letter in an identifier or a path of them."""
+    apart = F.split(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), r"[\s_:./\\\\]+")
+    return F.transform(F.filter(apart, lambda w: F.length(w) > 1), F.lower)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,37 +14,92 @@ from symgraph.plans.lineage import cut
 
 def steps(edges: DataFrame, direction: str, kinds: tuple[str, ...] = ()) -> DataFrame:
     """(a, b): from a one gets to b."""
+    return _ways(edges, direction, kinds).distinct()
+
+
+def _ways(edges: DataFrame, direction: str, kinds: tuple[str, ...] = ()) -> DataFrame:
     e = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
     out, back = e.select(F.col("source").alias("a"), F.col("target").alias("b")), e.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    return {"outgoing": out, "incoming": back}.get(direction, out.unionByName(back)).where("a <> b").distinct()
+    return {"outgoing": out, "incoming": back}.get(direction, out.unionByName(back)).where("a <> b")
 
 
-def levels(edges: DataFrame, start: DataFrame, direction: str, kinds: tuple[str, ...] = (), depth: int | None = None) -> DataFrame:
+def levels(edges: DataFrame, start: DataFrame, direction: str, kinds: tuple[str, ...] = (), depth: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """(id, depth): everything within depth steps of start (id) at its least depth, start itself at 0; no depth: all.
 
-    Without a bound the loop ends when a level is empty, and every fourth level is checkpointed.
+    A level is a join of the frontier with the edges, made distinct after it and not before; edges from a frontier of few rows are
+    found by a broadcast that Spark chooses by size. Each level is checkpointed, and the loop ends when one is empty. through: (id) of the only nodes that may be entered.
     """
-    hop = steps(edges, direction, kinds)
-    seen = start.select("id").distinct().withColumn("depth", F.lit(0))
+    hop = _ways(edges, direction, kinds)
+    seen = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, d = seen.select("id"), 0
     while depth is None or d < depth:
         d += 1
-        frontier = frontier.join(hop, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        if depth is None or d % 4 == 0:
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                break
+        ahead = hop.join(frontier.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        ahead = ahead if through is None else ahead.join(through, "id", "left_semi")
+        frontier = cut(ahead.join(seen.select("id"), "id", "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
-        if d % 4 == 0:
+        if d % 8 == 0:
             seen = cut(seen)
     return seen
 
 
+PRIORITY = {"contains": 0, "calls": 1}
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, node: str, direction: str = "outgoing", kinds: tuple[str, ...] = (), node_kinds: tuple[str, ...] = (), depth: int | None = None, limit: int | None = None, include_start: bool = True) -> DataFrame:
+    """(id, depth, parent, kind): a breadth-first tree; the parent is the first of the level before, by kind of edge (contains, calls, others), then by id.
+
+    Only nodes of node_kinds are entered; of all that is reached the first ``limit`` by depth, kind of edge and id stay. Without the start if it isn't wanted.
+    """
+    allowed = nodes.where(F.col("kind").isin(*node_kinds)).select("id") if node_kinds else nodes.select("id")
+    reached = levels(edges, one(edges, node).join(nodes.select("id"), "id", "left_semi"), direction, kinds, depth, allowed)
+    e = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    out, back = (e.select(F.col(x).alias("parent"), F.col(y).alias("id"), "kind") for x, y in (("source", "target"), ("target", "source")))
+    ways = {"outgoing": out, "incoming": back}.get(direction, out.unionByName(back))
+    rank = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in PRIORITY.items()], F.lit(2))
+    before = reached.select(F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    tree = ways.join(reached.where("depth > 0"), "id").join(before, ["parent", "depth"]).groupBy("id", "depth").agg(F.min(F.struct(rank.alias("rank"), "parent", "kind")).alias("by"))
+    found = tree.select("id", "depth", "by.parent", "by.kind", "by.rank")
+    if include_start:
+        found = found.unionByName(reached.where("depth = 0").select("id", "depth", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"), F.lit(-1).alias("rank")))
+    found = found.orderBy("depth", "rank", "id").limit(limit) if limit is not None else found
+    return found.select("id", "depth", "parent", "kind")
+
+
+def depth_first(nodes: DataFrame, edges: DataFrame, node: str, direction: str = "outgoing", kinds: tuple[str, ...] = (), depth: int = 3, limit: int = 1000) -> DataFrame:
+    """(step, id, depth): nodes in the order of a depth-first walk, each node's next by kind of edge and id.
+
+    The walk itself has an order that no parallel plan gives; it is done on the driver, over the ``limit`` nodes nearest to the start at most, and the edges among them.
+    """
+    spark = edges.sparkSession
+    near = traverse(nodes, edges, node, direction, kinds, (), depth, limit)
+    ids = cut(near.select("id"))
+    e = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    inside = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    ahead: dict[str, list[tuple]] = {}
+    for r in inside.select("source", "target", "kind").distinct().collect():  # edges among at most ``limit`` nodes
+        for x, y, way in ((r["source"], r["target"], "outgoing"), (r["target"], r["source"], "incoming")):
+            if direction in (way, "both"):
+                ahead.setdefault(x, []).append((PRIORITY.get(r["kind"], 2), y))
+    out, seen, waiting = [], set(), [(node, 0)] if not ids.isEmpty() else []
+    while waiting:
+        here, d = waiting.pop()
+        if here in seen:
+            continue
+        seen.add(here)
+        out.append((len(out), here, d))
+        if d < depth:
+            waiting += [(y, d + 1) for _, y in sorted(ahead.get(here, ()), reverse=True) if y not in seen]
+    return spark.createDataFrame(out, "step int, id string, depth int")
+
+
 def one(nodes_or_edges: DataFrame, node: str) -> DataFrame:
     return nodes_or_edges.sparkSession.createDataFrame([(node,)], "id string")
 
 
-def deep(edges: DataFrame, node: str, direction: str, kinds: tuple[str, ...], depth: int) -> DataFrame:
+def deep(edges: DataFrame, node: str, direction: str, kinds: tuple[str, ...], depth: int | None) -> DataFrame:
     """Callers, callees, testers or tested targets: levels without the node itself."""
     return levels(edges, one(edges, node), direction, kinds, depth).where("depth > 0")
 
@@ -58,8 +115,8 @@ def call_graph(edges: DataFrame, node: str, depth: int = 2) -> DataFrame:
 def hierarchy(edges: DataFrame, node: str, compat: bool = False) -> DataFrame:
     """(id, side, depth): ancestors and descendants by extends and implements; compat: ancestors alone."""
     kinds = ("extends", "implements")
-    up = deep(edges, node, "outgoing", kinds, 64).withColumn("side", F.lit("ancestor"))
-    return up if compat else up.unionByName(deep(edges, node, "incoming", kinds, 64).withColumn("side", F.lit("descendant")))
+    up = deep(edges, node, "outgoing", kinds, None).withColumn("side", F.lit("ancestor"))
+    return up if compat else up.unionByName(deep(edges, node, "incoming", kinds, None).withColumn("side", F.lit("descendant")))
 
 
 def usages(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -68,23 +125,30 @@ def usages(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return e.join(nodes.select("id", "name", "file_path"), "id").select("kind", "id", "name", "file_path", "line")
 
 
-def impact(edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
-    """(id, depth): what a change of node may reach. What a container contains is as near as the container; any other incoming edge is a step."""
-    inside = edges.where("kind = 'contains'").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    hop = steps(edges, "incoming")
-    seen, d = None, 0
-    frontier = one(edges, node)
-    while True:
-        level = frontier
-        for _ in range(3):  # file, class, member
-            level = level.unionByName(level.join(inside, F.col("id") == F.col("a")).select(F.col("b").alias("id"))).distinct()
-        level = level if seen is None else level.join(seen.select("id"), "id", "left_anti")
-        level = cut(level.withColumn("depth", F.lit(d)))
-        seen = level if seen is None else seen.unionByName(level)
-        d += 1
-        if d > depth:
-            return seen
-        frontier = level.select("id").join(hop, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+CONTAINERS = ("class", "interface", "struct", "trait", "protocol", "module", "enum")
+
+
+def impact(nodes: DataFrame, edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
+    """(id, depth): what a change of node may reach, at its least depth. What a type or module contains is as near as it is; any other incoming edge is a step.
+
+    What is ``depth`` steps away is there, but leads no further.
+    """
+    holders = nodes.where(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("a"))
+    inside = edges.where("kind = 'contains'").select(F.col("source").alias("a"), F.col("target").alias("b")).join(holders, "a", "left_semi")
+    hop = _ways(edges, "incoming")
+    seen, frontier = None, one(edges, node).join(nodes.select("id"), "id", "left_semi")
+    for d in range(depth + 1):
+        level = frontier if seen is None else frontier.join(seen.select("id"), "id", "left_anti")
+        new = level = cut(level.select("id").distinct())
+        while d < depth and not new.isEmpty():
+            kids = inside.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+            kids = kids.join(level, "id", "left_anti")
+            new = cut(kids if seen is None else kids.join(seen.select("id"), "id", "left_anti"))
+            level = level.unionByName(new)
+        found = level.withColumn("depth", F.lit(d))
+        seen = cut(found if seen is None else seen.unionByName(found))
+        frontier = hop.join(level.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+    return seen
 
 
 def path(edges: DataFrame, start: str, end: str, kinds: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
@@ -109,8 +173,40 @@ def children(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 def ancestors(edges: DataFrame, node: str) -> DataFrame:
     """(id, depth) of what contains node, outwards."""
-    return deep(edges, node, "incoming", ("contains",), 16)
-
+    return deep(edges, node, "incoming", ("contains",), None)
+
+
+def context(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """(role, kind, id, name, file_path): what surrounds a node, by role: focal, ancestor, child, incoming, outgoing (with the edge's kind), type (type_of, returns), and import of the file that it is in. Raises ValueError where there is no such node."""
+    of = nodes.select("id", "name", "file_path")
+    if nodes.where(F.col("id") == node).isEmpty():
+        raise ValueError(f"no such node: {node}")
+    up = ancestors(edges, node)
+    none = F.lit(None).cast("string").alias("kind")
+    into = edges.where((F.col("target") == node) & (F.col("kind") != "contains")).select(F.lit("incoming").alias("role"), "kind", F.col("source").alias("id"))
+    out = edges.where((F.col("source") == node) & (F.col("kind") != "contains"))
+    files = nodes.where("kind = 'file'").join(up.select("id"), "id", "left_semi").select(F.col("id").alias("source"))
+    parts = [
+        one(edges, node).select(F.lit("focal").alias("role"), none, "id"),
+        up.select(F.lit("ancestor").alias("role"), none, "id"),
+        children(nodes, edges, node).select(F.lit("child").alias("role"), none, "id"),
+        into,
+        out.select(F.lit("outgoing").alias("role"), "kind", F.col("target").alias("id")),
+        out.where("kind IN ('type_of', 'returns')").select(F.lit("type").alias("role"), none, F.col("target").alias("id")).distinct(),
+        edges.where("kind = 'imports'").join(files, "source", "left_semi").select(F.lit("import").alias("role"), none, F.col("target").alias("id")),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).join(of, "id").select("role", "kind", "id", "name", "file_path")
+
+
+SUBGRAPH_KINDS = ("file", "module", "class", "struct", "interface", "trait", "function", "method", "variable", "constant", "enum", "type_alias")
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, wanted: Column, with_edges: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes that fit a condition, of the kinds that make up a program, and the edges among them (or none)."""
+    kept = nodes.where(F.col("kind").isin(*SUBGRAPH_KINDS) & wanted)
+    ids = kept.select("id").distinct()
+    among = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return kept, among if with_edges else edges.limit(0)
 
 def dependencies(nodes: DataFrame, edges: DataFrame, file_path: str) -> DataFrame:
     """(file_path): files that a file imports from."""
@@ -161,12 +257,12 @@ def _short_cycles(e: DataFrame, longest: int) -> DataFrame:
     return found
 
 
-def circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int = 4) -> DataFrame:
+def short_circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int = 4) -> DataFrame:
     """(cycle): import cycles of up to ``longest`` files, each once, from its lowest file on. Files on no cycle are peeled off first."""
     return _short_cycles(_on_cycles(nodes, edges), longest).select(F.array_join("walk", " > ").alias("cycle"))
 
 
-def all_circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int = 4) -> DataFrame:
+def circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int = 4) -> DataFrame:
     """(cycle): every import cycle of up to ``longest`` files and, without a bound, a shortest one for each import that is on none of those.
 
     So each import on a cycle is in a cycle of the result. From the imports that are left the search goes on, a level at a time, until nothing new is reached.
@@ -191,18 +287,34 @@ def all_circular_dependencies(nodes: DataFrame, edges: DataFrame, longest: int =
 
 
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, incoming, outgoing, callers, calls, children) of every node: one pass over the edges, counted on both ends."""
+    """(id, incoming, outgoing, callers, calls, children, depth) of every node: one pass over the edges, counted on both ends, and the number of what contains it."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(True).alias("out")), F.struct(F.col("target").alias("id"), F.lit(False).alias("out")))).alias("e"), "kind").select("e.*", "kind")
     counted = ends.groupBy("id").agg(
         F.count_if(~F.col("out")).alias("incoming"), F.count_if(F.col("out")).alias("outgoing"), F.count_if(~F.col("out") & (F.col("kind") == "calls")).alias("callers"),
         F.count_if(F.col("out") & (F.col("kind") == "calls")).alias("calls"), F.count_if(F.col("out") & (F.col("kind") == "contains")).alias("children"),
     )
-    return nodes.select("id").join(counted, "id", "left").na.fill(0)
+    return nodes.select("id").join(counted, "id", "left").join(containers_above(edges), "id", "left").na.fill(0)
+
+
+def containers_above(edges: DataFrame) -> DataFrame:
+    """(id, depth): how many nodes contain each, outwards. Each round goes one container up, and ends when none is left; a cycle, which no extraction makes, ends it after as many rounds as there are first containers."""
+    up = cut(first_parent(edges))
+    state, most = up.select("id", F.col("parent").alias("top"), F.lit(1).cast("bigint").alias("depth")), 0
+    found, limit = None, up.count()
+    while most < limit:
+        state = cut(state)
+        if state.isEmpty():
+            break
+        found = state.select("id", "depth") if found is None else found.unionByName(state.select("id", "depth"))
+        above = up.select(F.col("id").alias("top"), F.col("parent").alias("_next"))
+        state = state.join(above, "top").select("id", F.col("_next").alias("top"), (F.col("depth") + 1).alias("depth"))
+        most += 1
+    return (found if found is not None else state.select("id", "depth")).groupBy("id").agg(F.max("depth").alias("depth"))
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("function", "method", "class")) -> DataFrame:
     used = edges.where("kind <> 'contains'").select(F.col("target").alias("id"))
-    return nodes.where(F.col("kind").isin(*kinds) & ~F.col("is_exported")).join(used, "id", "left_anti")
+    return nodes.where(F.col("kind").isin(*kinds) & ~F.coalesce(F.col("is_exported"), F.lit(False))).join(used, "id", "left_anti")
 
 
 def first_parent(edges: DataFrame) -> DataFrame:

@@ -1,32 +1,176 @@
-"""References to edges: resolution by name, kind promotion, dispatch through base types, and edges from tests to what they test."""
+"""References to edges: resolution strategy after strategy, kind promotion, dispatch through base types, and edges from tests to what they test.
+
+refs have (ref_id, from_node_id, reference_name, reference_kind, file_path, language, line); each strategy gives (ref_id, target, method,
+confidence), at most one row a reference. Where several symbols do as well, the first by path, line and id is taken.
+"""
 
 from __future__ import annotations
 
-import sys
+import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.functions.names import dirname, is_test_file, is_test_node, proximity
+from symgraph.functions import builtins as known_builtins
+from symgraph.functions.names import camel_words, dirname, is_test_file, is_test_node, proximity
 from symgraph.operators.graph import steps
+from symgraph.plans.lineage import cut
+
+SCRIPTS = ("typescript", "javascript", "tsx", "jsx")
+TYPES = ("class", "struct", "interface")
+
+
+def _first(found: DataFrame, by: list[str], method: str | Column, confidence: float | Column) -> DataFrame:
+    """Of each reference's rows the first by the columns ``by`` and the target's place."""
+    method, confidence = (x if isinstance(x, Column) else F.lit(x) for x in (method, confidence))
+    key = F.struct(*by, "t_path", "start_line", "target", method.alias("method"), confidence.cast("double").alias("confidence"))
+    return found.groupBy("ref_id").agg(F.min(key).alias("b")).select("ref_id", "b.target", "b.method", "b.confidence")
+
+
+def _targets(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), F.col("qualified_name").alias("t_qualified"), F.col("file_path").alias("t_path"), F.col("language").alias("t_language"), "start_line", F.coalesce("is_exported", F.lit(False)).alias("t_exported"))
+
+
+def _upper_first(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+
+
+def project_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """refs without those to builtins and standard libraries of their language, and names of one letter."""
+    receiver, method, dotted = F.split(F.col("reference_name"), r"\.")[0], F.regexp_extract(F.col("reference_name"), r"^[^.]+\.(.*)$", 1), F.instr(F.col("reference_name"), ".") > 1
+    big = _upper_first(receiver)
+    known = nodes.select(F.col("name").alias("_known")).distinct()
+    asked = refs.where(F.length("reference_name") >= 2).withColumn("_big", F.when((F.col("language") == "python") & dotted & method.isin(*sorted(known_builtins.PYTHON_METHODS)), big))
+    asked = asked.join(known, F.col("_big") == F.col("_known"), "left")
+    python = F.col("reference_name").isin(*sorted(known_builtins.PYTHON | known_builtins.PYTHON_METHODS)) | receiver.isin(*sorted(known_builtins.PYTHON_MODULES)) | (dotted & receiver.isin(*sorted(known_builtins.PYTHON_TYPES))) | (F.col("_big").isNotNull() & F.col("_known").isNull())
+    script = F.col("reference_name").isin(*sorted(known_builtins.JAVASCRIPT | known_builtins.HOOKS)) | F.col("reference_name").rlike(r"^(console|Math|JSON)\.")
+    go = F.col("reference_name").isin(*sorted(known_builtins.GO)) | (dotted & receiver.isin(*sorted(known_builtins.GO_PACKAGES)))
+    lang = F.col("language")
+    outside = F.when(lang == "python", python).when(lang.isin(*SCRIPTS), script).when(lang == "go", go).otherwise(False)
+    return asked.where(~F.coalesce(outside, F.lit(False))).select(*refs.columns)
+
+
+def _import_key() -> Column:
+    """The local name that an import must have to be meant: all before the first dot."""
+    return F.split(F.col("reference_name"), r"\.")[0]
+
+
+def possible_refs(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """refs of whose names any part is a symbol's, or that an import of their file names."""
+    known = nodes.select(F.col("name").alias("_part")).distinct()
+    parts = [F.col("reference_name")]
+    for sep in (".", "::"):
+        at = F.instr(F.col("reference_name"), sep)
+        receiver, member = F.substring_index(F.col("reference_name"), sep, 1), F.expr(f"substring(reference_name, instr(reference_name, '{sep}') + {len(sep)})")
+        parts += [F.when(at > 1, x) for x in (receiver, member, _upper_first(receiver))]
+    parts.append(F.when(F.instr(F.col("reference_name"), "/") > 1, F.substring_index(F.col("reference_name"), "/", -1)))
+    asked = refs.select("ref_id", F.explode(F.array_compact(F.array(*parts))).alias("_part")).join(known, "_part", "left_semi").select("ref_id")
+    if imports is not None:
+        asked = asked.unionByName(refs.withColumn("_key", _import_key()).join(imports.select("file_path", F.col("local_name").alias("_key")), ["file_path", "_key"], "left_semi").select("ref_id"))
+    return refs.join(asked.distinct(), "ref_id", "left_semi")
+
+
+def own_import(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """An import's reference to the import node of its file."""
+    t = _targets(nodes.where("kind = 'import'"))
+    hit = refs.where("reference_kind = 'imports'").join(t, (F.col("file_path") == F.col("t_path")) & (F.col("reference_name") == F.col("t_name")))
+    return _first(hit, [], "import-node", 0.95)
+
 
-BUILTINS = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "open", "super", "isinstance", "sorted", "enumerate", "zip", "map", "filter", "min", "max", "sum", "any", "all")
+def imported_files(imports: DataFrame, nodes: DataFrame, column: str = "files") -> DataFrame:
+    """(file_path, ordinal, path): the file that each import means, the first of its candidates that is there."""
+    asked = imports.select("file_path", "ordinal", F.posexplode(column).alias("rank", "c")).select("file_path", "ordinal", "rank", "c.path", "c.ending")
+    there = nodes.select(F.col("file_path").alias("path")).distinct()
+    exact = asked.where("NOT ending").join(there, "path").select("file_path", "ordinal", "rank", "path")
+    named = nodes.where("kind = 'file'").select(F.col("name").alias("_base"), F.col("file_path").alias("found"))
+    ends = asked.where("ending").withColumn("_base", F.substring_index("path", "/", -1)).join(named, "_base").where(F.col("found").endswith(F.col("path"))).select("file_path", "ordinal", "rank", F.col("found").alias("path"))
+    best = exact.unionByName(ends).groupBy("file_path", "ordinal").agg(F.min(F.struct("rank", "path")).alias("b"))
+    return best.select("file_path", "ordinal", "b.path")
 
 
-def project_refs(refs: DataFrame) -> DataFrame:
-    """refs without those to builtins and to modules of the standard library, and names of one letter."""
-    top = F.split("reference_name", r"\.")[0]
-    return refs.where(~top.isin(*sorted(sys.stdlib_module_names)) & ~F.col("reference_name").isin(*BUILTINS) & (F.length("reference_name") >= 2))
+def by_import(refs: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
+    """Through an import of the reference's file that has its name, or the name before its first dot: the symbol in the imported file. Outside Python it must be exported."""
+    asked = refs.withColumn("local_name", _import_key()).join(imports.select("file_path", "local_name", "ordinal", "exported_name", "is_default", "is_namespace"), ["file_path", "local_name"])
+    asked = asked.join(imported_files(imports, nodes), ["file_path", "ordinal"])
+    member = F.when(F.col("is_namespace") & (F.instr(F.col("reference_name"), ".") > 0), F.expr("substring(reference_name, length(local_name) + 2)"))
+    asked = asked.withColumn("wanted", F.when(~F.col("is_default"), F.coalesce(member, F.col("exported_name"))))
+    t, free = _targets(nodes), F.col("language") == "python"
+    named = asked.where("wanted IS NOT NULL").join(t, (F.col("path") == F.col("t_path")) & (F.col("wanted") == F.col("t_name"))).where(free | F.col("t_exported"))
+    first = t.where("t_kind IN ('function', 'class')").groupBy("t_path", "t_exported").agg(F.min(F.struct("start_line", "target")).alias("b")).select("t_path", "t_exported", "b.*")
+    default = asked.where("is_default").join(first, F.col("path") == F.col("t_path")).where(free | F.col("t_exported"))
+    columns = ["ref_id", "ordinal", "t_path", "start_line", "target"]
+    return _first(named.select(*columns).unionByName(default.select(*columns)), ["ordinal"], "import", 0.9)
+
+
+def by_module(refs: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
+    """Python's ``module.member``: the member, at the top of the file that the module is."""
+    asked = refs.where((F.col("language") == "python") & (F.instr(F.col("reference_name"), ".") > 1)).withColumn("local_name", _import_key()).withColumn("member", F.split(F.col("reference_name"), r"\.")[1])
+    asked = asked.join(imports.select("file_path", "local_name", "ordinal"), ["file_path", "local_name"]).join(imported_files(imports, nodes, "modules"), ["file_path", "ordinal"]).where("path <> file_path")
+    t = _targets(nodes.where("kind IN ('function', 'class', 'variable', 'constant')"))
+    return _first(asked.join(t, (F.col("path") == F.col("t_path")) & (F.col("member") == F.col("t_name"))), ["ordinal"], "import", 0.85)
+
+
+def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A name with slashes is a file's: its path 0.95, the end of its path 0.85, the only file of that name 0.7."""
+    asked = refs.where(F.instr(F.col("reference_name"), "/") > 0).withColumn("_base", F.substring_index("reference_name", "/", -1)).where("_base <> ''")
+    t = _targets(nodes.where("kind = 'file'"))
+    single = t.groupBy(F.col("t_name").alias("_base")).agg(F.count("*").alias("_n"))
+    hit = asked.join(t, F.col("_base") == F.col("t_name")).join(single, "_base")
+    exact, ends = (F.col("t_qualified") == F.col("reference_name")) | (F.col("t_path") == F.col("reference_name")), F.col("t_qualified").endswith(F.col("reference_name")) | F.col("t_path").endswith(F.col("reference_name"))
+    hit = hit.withColumn("_c", F.when(exact, 0.95).when(ends, 0.85).when(F.col("_n") == 1, 0.7)).where("_c IS NOT NULL").withColumn("_worse", -F.col("_c"))
+    return _first(hit, ["_worse"], "file-path", F.col("_c"))
+
+
+def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A name with dots or colons that is just one symbol's qualified name 0.95, or the end of that of a symbol of its last part 0.85."""
+    asked, t = refs.where(F.col("reference_name").rlike(r"\.|::")), _targets(nodes)
+    whole = asked.join(t, F.col("reference_name") == F.col("t_qualified"))
+    alone = whole.groupBy("ref_id").agg(F.count("*").alias("_n")).where("_n = 1").select("ref_id")
+    whole = whole.join(alone, "ref_id", "left_semi").withColumn("_worse", F.lit(0)).withColumn("_c", F.lit(0.95))
+    ends = asked.withColumn("_last", F.regexp_extract(F.col("reference_name"), "([^.:]*)$", 1)).where("_last <> ''").join(t, F.col("_last") == F.col("t_name")).where(F.col("t_qualified").endswith(F.col("reference_name"))).withColumn("_worse", F.lit(1)).withColumn("_c", F.lit(0.85))
+    columns = ["ref_id", "t_path", "start_line", "target", "_worse", "_c"]
+    return _first(whole.select(*columns).unionByName(ends.select(*columns)), ["_worse"], "qualified-name", F.col("_c"))
+
+
+def by_method(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``receiver.method``: a method in the file of the type that the receiver names (0.85) or names but for a capital (0.8); else the only
+    method of the name in the language (0.7), or the one whose qualified name has most of the receiver's words (0.65).
+
+    Overloaded methods meet a reference only over a word that they have in common, so a method name that many types have doesn't multiply the references.
+    """
+    pattern = r"^(\w+)(?:\.|::)(\w+)$"
+    asked = refs.where(F.col("reference_name").rlike(pattern)).select("ref_id", "language", F.regexp_extract(F.col("reference_name"), pattern, 1).alias("receiver"), F.regexp_extract(F.col("reference_name"), pattern, 2).alias("member"))
+    t = _targets(nodes.where("kind = 'method'"))
+    types = nodes.where(F.col("kind").isin(*TYPES)).select(F.col("name").alias("type"), F.col("file_path").alias("type_path"), F.col("language"), F.col("start_line").alias("type_line"), F.col("id").alias("type_id"))
+    big = _upper_first(F.col("receiver"))
+    named = asked.withColumn("type", F.col("receiver")).withColumn("_rank", F.lit(1)).unionByName(asked.where(big != F.col("receiver")).withColumn("type", big).withColumn("_rank", F.lit(2)))
+    typed = named.join(types, ["type", "language"]).join(t, (F.col("type_path") == F.col("t_path")) & (F.col("member") == F.col("t_name"))).where(F.col("t_qualified").contains(F.col("type")))
+    typed = typed.withColumn("_c", F.when(F.col("_rank") == 1, 0.85).otherwise(0.8)).withColumn("_m", F.when(F.col("_rank") == 1, "qualified-name").otherwise("instance-method")).withColumn("_by", F.struct("type_path", "type_line", "type_id"))
+
+    per = t.groupBy(F.col("t_name").alias("member"), F.col("t_language").alias("language")).agg(F.count("*").alias("_in"), F.min(F.struct("t_path", "start_line", "target")).alias("_only"))
+    every = per.groupBy("member").agg(F.sum("_in").alias("_all"))
+    counted = asked.join(per, ["member", "language"], "left").join(every, "member")
+    no_place = F.struct(F.lit("").alias("type_path"), F.lit(0).alias("type_line"), F.lit("").alias("type_id"))
+    single = counted.where("_in = 1").select("ref_id", "_only.*", F.lit(3).alias("_rank"), F.lit(0.7).alias("_c"), F.lit("instance-method").alias("_m"), no_place.alias("_by"))
+    many = counted.where("coalesce(_in, 0) <> 1 AND (_in > 1 OR _all > 1)").select("ref_id", "language", "member", F.coalesce("_in", F.lit(0)).alias("_in"), F.explode(camel_words(F.col("receiver"))).alias("_word"))
+    words = t.select(F.col("t_name").alias("member"), "target", "t_path", "start_line", "t_language", F.explode(F.array_distinct(camel_words(F.col("t_qualified")))).alias("_word"))
+    score = many.join(words, ["member", "_word"]).where("_in = 0 OR t_language = language").groupBy("ref_id", "target", "t_path", "start_line", "t_language", "language").agg(F.count("*").alias("_n"))
+    score = score.withColumn("_n", F.col("_n") + F.when(F.col("t_language") == F.col("language"), 1).otherwise(0)).where("_n >= 2")
+    alike = score.select("ref_id", "t_path", "start_line", "target", F.lit(4).alias("_rank"), F.lit(0.65).alias("_c"), F.lit("instance-method").alias("_m"), no_place.alias("_by"), (-F.col("_n")).alias("_worse"))
+    columns = ["ref_id", "t_path", "start_line", "target", "_rank", "_c", "_m", "_by", "_worse"]
+    zero = F.lit(0).cast("bigint").alias("_worse")
+    found = typed.select(*columns[:-1], zero).unionByName(single.select(*columns[:-1], zero)).unionByName(alike.select(*columns))
+    return _first(found, ["_rank", "_worse", "_by"], F.col("_m"), F.col("_c"))
 
 
 def by_exact_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ref_id, target, method, confidence): of several symbols of a name the best one.
+    """Of several symbols of a name the best one.
 
-    refs: (ref_id, reference_name, reference_kind, file_path, language, line). Best: the same file 100, shared folders up to 80, the same language 50 (another:
-    80 less), a kind that fits 25, exported 10, nearness in the file up to 20; ties go to the first by path and line. A reference meets
-    one symbol for each folder and kind of its name, not all that have the name, so an overloaded name doesn't multiply the references.
+    Best: the same file 100, shared folders up to 80, the same language 50 (another: 80 less), a kind that fits 25 or 15, exported 10,
+    nearness in the file up to 20. A reference meets one symbol for each folder and kind of its name, not all that have the name, so an
+    overloaded name doesn't multiply the references.
     """
-    n = nodes.where("kind <> 'file' AND kind <> 'import'").select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("reference_name"), F.col("file_path").alias("t_path"), F.col("language").alias("t_language"), "start_line", "is_exported")
+    n = nodes.select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("reference_name"), F.col("file_path").alias("t_path"), F.col("language").alias("t_language"), "start_line", "is_exported")
     # what is alike but for its place in a folder can only win by being first there, unless the reference is in its file, which outweighs all else
     alike = n.groupBy("reference_name", dirname(F.col("t_path")).alias("_dir"), "t_kind", "t_language", "is_exported").agg(F.min(F.struct("t_path", "start_line", "target")).alias("_first"), F.count("*").alias("_n"))
     total = alike.groupBy("reference_name").agg(F.sum("_n").alias("n"))
@@ -35,51 +179,74 @@ def by_exact_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = refs.join(within, ["reference_name", "file_path"])
     others = refs.join(within.select("reference_name", "file_path").distinct(), ["reference_name", "file_path"], "left_anti").join(one_each, "reference_name")
     c = own.select(*others.columns).unionByName(others).join(total, "reference_name")
-    same = F.col("file_path") == F.col("t_path")
-    fits = F.when((F.col("reference_kind") == "calls") & F.col("t_kind").isin("function", "method"), 25).when(F.col("reference_kind").isin("extends", "implements", "instantiates") & F.col("t_kind").isin("class", "interface", "struct"), 25).otherwise(0)
+    same, kind, t_kind = F.col("file_path") == F.col("t_path"), F.col("reference_kind"), F.col("t_kind")
+    called = kind.isin("calls", "decorates") & t_kind.isin("function", "method")
+    fits = F.when(called | ((kind == "instantiates") & t_kind.isin(*TYPES)), 25).when((kind == "decorates") & t_kind.isin("class", "interface"), 15).otherwise(0)
     near = F.when(same, F.greatest(F.lit(0), 20 - F.floor(F.abs(F.col("line") - F.col("start_line")) / 10))).otherwise(0)
     close = proximity(F.col("file_path"), F.col("t_path"))
     score = F.when(same, 100).otherwise(0) + close + F.when(F.col("language") == F.col("t_language"), 50).otherwise(-80) + fits + F.when(F.col("is_exported"), 10).otherwise(0) + near
     c = c.withColumn("near", close).withColumn("score", score)
     best = c.groupBy("ref_id", "n", "language").agg(F.min(F.struct((-F.col("score")).alias("_s"), "t_path", "start_line", "target", "t_language", "near")).alias("b")).select("ref_id", "n", "language", "b.*")
     confidence = F.when(F.col("n") == 1, F.when(F.col("language") == F.col("t_language"), 0.9).otherwise(0.5)).otherwise(F.when(F.col("near") >= 30, 0.7).otherwise(0.4))
-    return best.where("n = 1 OR _s < 1").select("ref_id", "target", F.lit("exact-name").alias("method"), confidence.alias("confidence"))
+    return best.where("n = 1 OR _s < 1").select("ref_id", "target", F.lit("exact-match").alias("method"), confidence.alias("confidence"))
 
 
 def fuzzy_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ref_id, target, method, confidence) where exactly one callable has the name, case aside."""
-    n = nodes.where(F.col("kind").isin("function", "method", "class")).select(F.col("id").alias("target"), F.lower("name").alias("low"), F.col("language").alias("t_language"))
-    single = n.groupBy("low").agg(F.count("*").alias("n"), F.min("target").alias("target"), F.min("t_language").alias("t_language")).where("n = 1")
-    return refs.withColumn("low", F.lower("reference_name")).join(single, "low").select("ref_id", "target", F.lit("fuzzy").alias("method"), F.when(F.col("language") == F.col("t_language"), 0.5).otherwise(0.3).alias("confidence"))
+    """Where exactly one callable of the language has the name, case aside, or, if the language has none, exactly one at all."""
+    n = nodes.where(F.col("kind").isin("function", "method", "class")).select(F.col("id").alias("target"), F.lower("name").alias("low"), F.col("language"))
+    per = n.groupBy("low", "language").agg(F.count("*").alias("_in"), F.min("target").alias("_mine"))
+    every = n.groupBy("low").agg(F.count("*").alias("_all"), F.min("target").alias("_any"))
+    hit = refs.withColumn("low", F.lower("reference_name")).join(every, "low").join(per, ["low", "language"], "left").where("_in = 1 OR (_in IS NULL AND _all = 1)")
+    return hit.select("ref_id", F.coalesce("_mine", "_any").alias("target"), F.lit("fuzzy").alias("method"), F.when(F.col("_in") == 1, 0.5).otherwise(0.3).alias("confidence"))
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """The first strategy's answer to each reference: its file's import node, imports, modules, paths, qualified names, methods, names, near names.
+
+    imports: as of ``extract_imports``; without them those strategies have nothing to go by. refs without an answer have no row.
+    """
+    refs = refs.where(F.length("reference_name") >= 2)
+    own = own_import(refs, nodes)
+    rest = project_refs(refs.join(own.select("ref_id"), "ref_id", "left_anti"), nodes)
+    rest = cut(possible_refs(rest, nodes, imports))
+    found = [own] + ([by_import(rest, nodes, imports), by_module(rest, nodes, imports)] if imports is not None else [])
+    found += [by_file_path(rest, nodes), by_qualified_name(rest, nodes), by_method(rest, nodes), by_exact_name(rest, nodes), fuzzy_name(rest, nodes)]
+    every = functools.reduce(DataFrame.unionByName, [f.withColumn("_rank", F.lit(i)) for i, f in enumerate(found)])
+    return every.groupBy("ref_id").agg(F.min(F.struct("_rank", "target", "method", "confidence")).alias("b")).select("ref_id", "b.target", "b.method", "b.confidence")
 
 
-def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ref_id, target, method, confidence): the exact name first, then the fuzzy one."""
-    refs = project_refs(refs)
-    exact = by_exact_name(refs, nodes)
-    rest = refs.join(exact.select("ref_id"), "ref_id", "left_anti")
-    return exact.unionByName(fuzzy_name(rest, nodes))
+def resolution_stats(refs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(method, n): references resolved by each strategy, and those that none resolved under 'unresolved'."""
+    both = refs.select("ref_id").join(resolved.select("ref_id", "method"), "ref_id", "left")
+    return both.groupBy(F.coalesce("method", F.lit("unresolved")).alias("method")).agg(F.count("*").alias("n"))
 
 
 def resolved_edges(refs: DataFrame, resolved: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(kind, source, target, line, provenance): calls of a class become instantiates, extends of an interface implements."""
+    """(kind, source, target, line, provenance, ref_id): calls of a class become instantiates, extends of an interface implements."""
     kinds = nodes.select(F.col("id").alias("target"), F.col("kind").alias("t_kind"))
     e = resolved.join(refs.select("ref_id", "from_node_id", "reference_kind", "line"), "ref_id").join(kinds, "target")
     kind = F.when((F.col("reference_kind") == "calls") & F.col("t_kind").isin("class", "struct"), "instantiates").when((F.col("reference_kind") == "extends") & F.col("t_kind").isin("interface", "protocol", "trait"), "implements").otherwise(F.col("reference_kind"))
-    return e.select(kind.alias("kind"), F.col("from_node_id").alias("source"), "target", "line", F.format_string("resolution:%s:%.2f", "method", "confidence").alias("provenance"))
+    return e.select(kind.alias("kind"), F.col("from_node_id").alias("source"), "target", "line", F.format_string("resolution:%s:%.2f", "method", "confidence").alias("provenance"), "ref_id")
 
 
 def dispatch_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source, target): a method of a base type calls the methods of the same name of the types below it."""
-    up = steps(edges, "outgoing", ("extends", "implements"))
-    closure = up
+    """(source, target): a method of a base type calls the methods of the same name of the classes below it; of a class's several, the last.
+
+    Paths to base types double in each round, which is checkpointed, until no new pair comes.
+    """
+    kinds = nodes.select("id", "kind")
+    closure = cut(steps(edges, "outgoing", ("extends", "implements")))
+    n = closure.count()
     while True:
-        more = closure.unionByName(closure.select("a", F.col("b").alias("m")).join(up.select(F.col("a").alias("m"), "b"), "m").select("a", "b")).where("a <> b").distinct()
-        if more.count() == closure.count():
+        longer = closure.select("a", F.col("b").alias("m")).join(closure.select(F.col("a").alias("m"), "b"), "m").select("a", "b").where("a <> b")
+        closure = cut(closure.unionByName(longer).distinct())
+        if (m := closure.count()) == n:
             break
-        closure = more
-    members = edges.where("kind = 'contains'").select(F.col("source").alias("type"), F.col("target").alias("id")).join(nodes.where("kind IN ('method', 'function')").select("id", "name"), "id")
-    base, below = members.select(F.col("type").alias("b"), F.col("id").alias("source"), "name"), members.select(F.col("type").alias("a"), F.col("id").alias("target"), "name")
+        n = m
+    closure = closure.join(kinds.where("kind IN ('class', 'struct')").select(F.col("id").alias("a")), "a", "left_semi").join(kinds.where("kind IN ('interface', 'protocol', 'trait', 'class')").select(F.col("id").alias("b")), "b", "left_semi")
+    members = edges.where("kind = 'contains'").select(F.col("source").alias("type"), F.col("target").alias("id")).join(nodes.where("kind IN ('method', 'function')").select("id", "name", "start_line"), "id")
+    base = members.select(F.col("type").alias("b"), F.col("id").alias("source"), "name")
+    below = members.groupBy(F.col("type").alias("a"), "name").agg(F.max(F.struct("start_line", "id")).alias("x")).select("a", "name", F.col("x.id").alias("target"))
     return closure.join(base, "b").join(below, ["a", "name"]).select("source", "target").distinct()
 
 

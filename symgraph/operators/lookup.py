@@ -28,6 +28,25 @@ def of_kinds(nodes: DataFrame, kinds: list[str] | None = None, languages: list[s
     return out.where(F.col("language").isin(languages)) if languages else out
 
 
+def by_filters(nodes: DataFrame, kinds: list[str] | None = None, languages: list[str] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    return of_kinds(nodes, kinds, languages).orderBy("name", "id").offset(offset).limit(limit)
+
+
+def edges_page(edges: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    return edges.orderBy("kind", "source", "target", "line").offset(offset).limit(limit)
+
+
+def dataflow_of(flows: DataFrame, function: str) -> DataFrame:
+    return flows.where(F.col("function_id") == function)
+
+
+def claim_bundle(claims: DataFrame, grounding: DataFrame) -> DataFrame:
+    """claims with ``groundings``: the places (file_path, relation, start_line, end_line) that bear each one out, in their order; none give an empty list."""
+    places = grounding.groupBy(F.col("claim_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("file_path", "start_line", "end_line", "relation"))).alias("groundings"))
+    empty = F.array().cast("array<struct<file_path: string, start_line: int, end_line: int, relation: string>>")
+    return claims.join(places, "id", "left").withColumn("groundings", F.coalesce("groundings", empty))
+
+
 def page(nodes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return nodes.orderBy("file_path", "start_line", "id").offset(offset).limit(limit)
 

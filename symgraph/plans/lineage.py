@@ -1,16 +1,35 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset (local tests), in a temporary one."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a session in this one process (a test) may leave it unset, and gets a temporary one; a cluster's executors share no such folder, so there it is an error."""
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="symgraph-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="symgraph-"))
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/symgraph/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

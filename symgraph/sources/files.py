@@ -1,22 +1,19 @@
-"""Source files as a table, what changed of them, and the symbols of Python files."""
+"""Source files as a table, and what changed of them."""
 
 from __future__ import annotations
 
-import ast
-import hashlib
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions.names import language
 
-INCLUDE = tuple(f"**/*.{e}" for e in ("py", "pyi", "ts", "tsx", "js", "jsx", "mjs", "cjs", "go", "rs", "java", "c", "h", "cpp", "hpp", "cc", "cs", "php", "rb", "swift", "kt", "dart", "scala"))
-EXCLUDE = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/__pycache__/**", "**/.venv/**", "**/venv/**", "**/target/**", "**/vendor/**", "**/*.min.js")
+_SUFFIXES = "py ts tsx js jsx go rs java c h cpp hpp cc cxx cs php rb swift kt kts dart scala sc"
+INCLUDE = tuple(f"**/*.{e}" for e in _SUFFIXES.split())
+_FOLDERS = ".git .gradle .idea .mypy_cache .pytest_cache .venv Pods __pycache__ bin build coverage dist node_modules out site-packages target vendor venv"
+EXCLUDE = (*(f"**/{f}/**" for f in _FOLDERS.split()), "**/*.bundle.js", "**/*.min.js")
 MOST_BYTES = 1 << 20
-ROWS = "tag string, id string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int, source string, target string, line int"
 
 
 def glob_regex(glob: str) -> str:
@@ -25,14 +22,21 @@ def glob_regex(glob: str) -> str:
     return "^" + head + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in rest.replace("**", "*")) + "$"
 
 
-def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, most: int = MOST_BYTES) -> DataFrame:
-    """(path, content, language, size, content_hash) of the files below root that include names and exclude doesn't."""
+def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, most: int = MOST_BYTES, listed: DataFrame | None = None) -> DataFrame:
+    """(path, content, language, size, content_hash, modified_at, read_error) of the files below root that include names and exclude doesn't.
+
+    listed: (path) of the only files that count, such as those that git knows. What isn't UTF-8 has a null content and says so in read_error.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most)
     base = re.sub(r"^file:(//)?", "", root.rstrip("/")) + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//)?", ""), "^" + re.escape(base), "")
-    rows = found.select(path.alias("path"), "content", F.col("length").alias("size"))
+    rows = found.select(path.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     rows = rows.where(F.col("path").rlike("|".join(map(glob_regex, include))) & ~F.col("path").rlike("|".join(map(glob_regex, exclude))))
-    return rows.select("path", F.decode("content", "UTF-8").alias("content"), language(F.col("path")).alias("language"), "size", F.sha2("content", 256).alias("content_hash"))
+    rows = rows if listed is None else rows.join(listed.select("path").distinct(), "path", "left_semi")
+    text = F.col("content").cast("string")
+    error = F.when(~F.is_valid_utf8(text), "not UTF-8")
+    text = F.when(F.is_valid_utf8(text), text)
+    return rows.select("path", text.alias("content"), language(F.col("path")).alias("language"), "size", F.sha2("content", 256).alias("content_hash"), "modified_at", error.alias("read_error"))
 
 
 def changes(current: DataFrame, known: DataFrame) -> DataFrame:
@@ -40,85 +44,3 @@ def changes(current: DataFrame, known: DataFrame) -> DataFrame:
     both = current.select("path", F.col("content_hash").alias("_new")).join(known.select("path", F.col("content_hash").alias("_old")), "path", "full")
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
     return both.select("path", change.alias("change")).where("change IS NOT NULL")
-
-
-def _dotted(node: ast.AST) -> str | None:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        left = _dotted(node.value)
-        return node.attr if left in (None, "self", "cls") else f"{left}.{node.attr}"
-    return None
-
-
-def python_symbols(path: str, content: str) -> list[dict]:
-    """Nodes, contains edges and references of a Python file; a file that doesn't parse has its file node and an error row."""
-    rows: list[dict] = []
-
-    def node(kind: str, name: str, qualified: str, first: int, last: int, parent: str | None) -> str:
-        me = f"file:{path}" if kind == "file" else kind + ":" + hashlib.sha256(f"{path}:{kind}:{name}:{first}".encode()).hexdigest()[:32]
-        rows.append({"tag": "node", "id": me, "kind": kind, "name": name, "qualified_name": qualified, "file_path": path, "start_line": first, "end_line": last})
-        if parent:
-            rows.append({"tag": "edge", "kind": "contains", "source": parent, "target": me, "file_path": path})
-        return me
-
-    def ref(kind: str, name: str | None, line: int, owner: str) -> None:
-        if name:
-            rows.append({"tag": "ref", "kind": kind, "name": name, "source": owner, "line": line, "file_path": path})
-
-    def calls(tree: ast.AST, owner: str) -> None:
-        for x in ast.walk(tree):
-            if isinstance(x, ast.Call):
-                ref("calls", _dotted(x.func), x.lineno, owner)
-
-    def visit(body: list[ast.stmt], owner: str, names: tuple[str, ...], in_class: bool) -> None:
-        for x in body:
-            if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                is_class = isinstance(x, ast.ClassDef)
-                marks = [_dotted(d.func if isinstance(d, ast.Call) else d) for d in x.decorator_list]
-                kind = "class" if is_class else "property" if in_class and "property" in marks else "method" if in_class else "function"
-                me = node(kind, x.name, "::".join([*names, x.name]), x.lineno, x.end_lineno or x.lineno, owner)
-                for d in marks:
-                    ref("decorates", d, x.lineno, me)
-                if is_class:
-                    for b in x.bases:
-                        ref("extends", _dotted(b), x.lineno, me)
-                    visit(x.body, me, (*names, x.name), True)
-                else:
-                    for y in x.body:
-                        calls(y, me)
-            elif isinstance(x, ast.Import | ast.ImportFrom):
-                module = ("." * x.level + (x.module or "")) if isinstance(x, ast.ImportFrom) else ""
-                for a in [module] if module else [a.name for a in x.names]:
-                    node("import", a, "::".join([*names, a]), x.lineno, x.end_lineno or x.lineno, owner)
-                if module:
-                    for name in [module, *[a.asname or a.name for a in x.names if a.name != "*"]]:
-                        ref("imports", name, x.lineno, owner)
-            elif isinstance(x, ast.Assign) and not in_class and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name):
-                name = x.targets[0].id
-                node("constant" if name.isupper() else "variable", name, "::".join([*names, name]), x.lineno, x.end_lineno or x.lineno, owner)
-                calls(x, owner)
-            else:
-                calls(x, owner)
-
-    top = node("file", path.rsplit("/", 1)[-1], path, 1, content.count("\n") + 1, None)
-    try:
-        visit(ast.parse(content).body, top, (), False)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        rows.append({"tag": "error", "name": str(e), "file_path": path})
-    return rows
-
-
-def extract(sources: DataFrame) -> DataFrame:
-    """Rows of (path, content): tag node, edge, ref or error. Python alone is parsed; other files have their file node."""
-    fields = [(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in ROWS.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                content = content or ""
-                out += python_symbols(path, content) if path.endswith((".py", ".pyi")) else [{"tag": "node", "id": f"file:{path}", "kind": "file", "name": path.rsplit("/", 1)[-1], "qualified_name": path, "file_path": path, "start_line": 1, "end_line": content.count("\n") + 1}]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], t) for n, t in fields], names=[n for n, _ in fields])
-
-    return sources.select("path", "content").mapInArrow(run, ROWS)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symgraph.plans.lineage import stored
+
 _NATIONS = "SELECT n_nationkey AS k, n_name, 'src/' || lower(replace(r_name, ' ', '_')) || '/nation_' || n_nationkey || '.py' AS src, 'tests/test_nation_' || n_nationkey || '.py' AS tst FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"
 _BRANDS = "SELECT p_partkey, p_name, p_size, 'lib/' || lower(replace(p_brand, '#', '_')) || '.py' AS lib FROM {part}"
 
@@ -59,6 +61,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(spark, sf_dir, EDGES)
 
 
+_GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges), written once a session and folder: edges in the order of their targets, so that a look-up of one node's reads few row groups."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _GRAPHS:
+        e = edges(spark, sf_dir).repartition("target").sortWithinPartitions("target", "kind")
+        _GRAPHS[key] = stored(nodes(spark, sf_dir), "nodes"), stored(e, "edges")
+    return _GRAPHS[key]
+
+
 def plain(sql: str) -> str:
     """The projection's SQL over tables of these names."""
     return sql.format(**{t: t for t in TABLES})
