@@ -94,26 +94,17 @@ FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOI
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the payload's bytes, for the digests stand for them."""
-    return warc.chunk_table(read(spark, sf_dir, "pages")).drop("payload")
+    return warc.chunk_table(read(spark, sf_dir, "pages"))
 
 
 _OP8 = f"""
 WITH p AS (SELECT page_id, url, hex(encode(coalesce(html, ''))) AS h FROM pages),
 c AS (SELECT *, unnest(range(0, greatest(1, (len(h) // 2 + {warc.CHUNK - 1}) // {warc.CHUNK}))) AS i FROM p)
-SELECT page_id, url, CAST(i AS INTEGER) AS chunk_no, i * {warc.CHUNK} AS start, CAST(least({warc.CHUNK}, len(h) // 2 - i * {warc.CHUNK}) AS INTEGER) AS n_bytes,
-    sha256(unhex(h[:2 * {warc.CHUNK} * (i + 1)])) AS digest, (i + 1) * {warc.CHUNK} >= len(h) // 2 AS last FROM c
+SELECT 'urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || substr(sha256(unhex(h)), 1, 16) AS record_id, page_id, url, CAST(i AS INTEGER) AS chunk_no, i * {warc.CHUNK} AS start, CAST(least({warc.CHUNK}, len(h) // 2 - i * {warc.CHUNK}) AS INTEGER) AS n_bytes,
+    sha256(unhex(h[:2 * {warc.CHUNK} * (i + 1)])) AS digest, (i + 1) * {warc.CHUNK} >= len(h) // 2 AS last, unhex(h[2 * {warc.CHUNK} * i + 1:2 * {warc.CHUNK} * (i + 1)]) AS payload, CAST(NULL AS VARCHAR) AS error FROM c
 """
 
 
-def op8_warc_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chunk table, with the payload's bytes."""
-    return warc.chunk_table(read(spark, sf_dir, "pages"))
-
-
-_OP8_PAYLOAD = _OP8.replace(" AS last FROM c", f" AS last, unhex(h[2 * {warc.CHUNK} * i + 1:2 * {warc.CHUNK} * (i + 1)]) AS payload FROM c")
-
-
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_blocks(read(spark, sf_dir, "documents"))
 
@@ -131,7 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
-    "op8_warc_payload": op8_warc_payload,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
@@ -142,5 +132,4 @@ ORACLE_SQL: dict[str, str] = {
     "op6_suffix_array_dedup": _OP6,
     "op7_ngram_jaccard_join": _OP7,
     "op8_warc": _OP8,
-    "op8_warc_payload": _OP8_PAYLOAD,
 }

@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 from symgraph.llm.tables import shared_dir, shared_table, small_batches
 
 CHUNK, FILE_BYTES, BATCH_BYTES = 16_384, 128 << 20, 4 << 20
-CHUNKS = "page_id bigint, url string, chunk_no int, start bigint, n_bytes int, digest string, last boolean, payload binary"
+CHUNKS = "record_id string, page_id bigint, url string, chunk_no int, start bigint, n_bytes int, digest string, last boolean, payload binary, error string"
 
 
-def _header(page_id: int | None, url: str | None, size: int) -> bytes:
+def _header(page_id: int | None, url: str | None, body: memoryview) -> bytes:
+    """The record's identifier names the page and the beginning of its payload's digest: pages that share an id with another text are told apart."""
     clean = "" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html"]
+    lines = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{hashlib.sha256(body).hexdigest()[:16]}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {clean}")
-    return ("\r\n".join([*lines, f"Content-Length: {size}"]) + "\r\n\r\n").encode()
+    return ("\r\n".join([*lines, f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode()
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
                 out = where.open_output_stream(f"{base}/{name}", compression=None)
             body = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
             packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-            size += out.write(packer.compress(_header(page_id.as_py(), url.as_py(), len(body))))
+            size += out.write(packer.compress(_header(page_id.as_py(), url.as_py(), body)))
             for at in range(0, len(body), BATCH_BYTES):
                 size += out.write(packer.compress(body[at : at + BATCH_BYTES]))
             size += out.write(packer.compress(b"\r\n\r\n") + packer.flush())
@@ -61,7 +62,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
 
 
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write a record for each row of pages (page_id, url, html) to WARC files in folder; (file, records, bytes) of those written."""
+    """Write a record for each row of pages (page_id, url, html) to WARC files in folder; (file, records, bytes) of those written.
+
+    Null ids and urls are left out of a record's header, a null html is an empty payload, repeated rows are repeated records, an empty table writes no file; other columns are not looked at.
+    """
     small_batches(pages.sparkSession, 200)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
     return shared_table(rows.mapInArrow(lambda it: _write(it, folder, file_bytes), "file string, records bigint, bytes bigint"), "warc-files")
@@ -107,45 +111,63 @@ class Stream:
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) - self.at < n:
-            if not self.more():
-                raise ValueError("a WARC record is cut short")
+        """The next n bytes, or as many as there are."""
+        while len(self.buffer) - self.at < n and self.more():
+            pass
         out = bytes(memoryview(self.buffer)[self.at : self.at + n])
-        self.at += n
+        self.at += len(out)
         return out
 
 
-def records(stream: Stream, chunk: int = CHUNK) -> Iterator[tuple]:
-    """Rows of chunks of all records that have a page's id or none; others (of other writers) have a null id."""
-    while True:
-        first = stream.line()
-        if first is None:
-            return
-        if not first.startswith(b"WARC/"):
-            if first:
-                raise ValueError("not a WARC record")
-            continue
-        head = {}
-        while line := stream.line():
-            key, _, value = line.partition(b":")
-            head[key.strip().lower()] = value.strip().decode("utf-8", "replace")
-        size = int(head[b"content-length"])
-        name = head.get(b"warc-record-id", "").strip("<>")
-        number = name[9:] if name.startswith("urn:page:") else ""
-        page_id = int(number) if number.lstrip("-").isdigit() else None
-        digest, at, i = hashlib.sha256(), 0, 0
+def records(stream: Stream, chunk: int = CHUNK, name: str = "") -> Iterator[tuple]:
+    """Rows of chunks of all records; page ids are those of ``write``, records of other writers have none, and where they have no identifier they get the file's name and their number in it.
+
+    A file ends at what isn't a record, at a record without a length, at damaged compression and at its cut-off end. The chunks until then are
+    there; the last row, with ``error``, says what was wrong, and other files are read all the same.
+    """
+    number, row = 0, (None, None, None, 0, 0, 0, None, False, b"", None)
+    try:
         while True:
-            part = stream.take(min(chunk, size - at))
-            digest.update(part)
-            yield page_id, head.get(b"warc-target-uri"), i, at, len(part), digest.copy().hexdigest(), at + len(part) == size, part
-            at, i = at + len(part), i + 1
-            if at >= size:
-                break
+            first = stream.line()
+            if first is None:
+                return
+            if not first:
+                continue
+            row = (f"{name}#{number}", None, None, 0, 0, 0, None, False, b"", None)
+            if not first.startswith(b"WARC/"):
+                yield (*row[:-1], "not a WARC record")
+                return
+            head = {}
+            while line := stream.line():
+                key, _, value = line.partition(b":")
+                head[key.strip().lower()] = value.strip().decode("utf-8", "replace")
+            said, length = head.get(b"warc-record-id", "").strip("<>"), head.get(b"content-length", "")
+            page = said.split(":")[2] if said.startswith("urn:page:") else ""
+            row = (said or f"{name}#{number}", int(page) if page.lstrip("-").isdigit() else None, head.get(b"warc-target-uri"), 0, 0, 0, None, False, b"", None)
+            if not (length.isascii() and length.isdigit()):
+                yield (*row[:-1], "no content length")
+                return
+            size, digest, at, i = int(length), hashlib.sha256(), 0, 0
+            while True:
+                want = min(chunk, size - at)
+                part = stream.take(want)
+                digest.update(part)
+                short = len(part) < want
+                row = (*row[:3], i, at, len(part), digest.copy().hexdigest(), at + len(part) == size, part, "cut short" if short else None)
+                yield row
+                at, i = at + len(part), i + 1
+                if short:
+                    return
+                if at >= size:
+                    break
+            number += 1
+    except zlib.error as e:
+        yield (*row[:3], row[3], row[4] + row[5], 0, row[6], False, b"", f"damaged: {e}")
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, chunk: int) -> Iterator[pa.RecordBatch]:
     where, base = fs.FileSystem.from_uri(folder)
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,9 +177,9 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, chunk: int) -> Iterato
         for name in b.column(0).to_pylist():
             with where.open_input_stream(os.path.join(base, name), compression=None) as source:
                 rows, held = [], 0
-                for row in records(Stream(source), chunk):
+                for row in records(Stream(source), chunk, name):
                     rows.append(row)
-                    held += row[4] + 200
+                    held += row[5] + 200
                     if held >= BATCH_BYTES:
                         yield batch(rows)
                         rows, held = [], 0
@@ -166,10 +188,11 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, chunk: int) -> Iterato
 
 
 def read(files: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """(page_id, url, chunk_no, start, n_bytes, digest, last, payload) of the records in the files that ``write`` made in folder.
+    """(record_id, page_id, url, chunk_no, start, n_bytes, digest, last, payload, error) of the records in the files (file) of folder.
 
     digest is the hex SHA-256 of the payload up to the chunk's end, so the last chunk's is that of the whole. An empty payload has one
-    empty chunk.
+    empty chunk; long ones are never whole in memory; equal records of a file each have their rows; no files give an empty result. A broken
+    file gives what comes before the break, and a row that names it in ``error`` (else null).
     """
     spread = files.select("file").repartition(max(1, min(files.count(), 10_000)))
     return spread.mapInArrow(lambda it: _read(it, folder, chunk), CHUNKS)

@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from symgraph.llm.tables import shared_table, small_batches
 
 #: A slot is main text if its texts have on average this share of the characters of the host's longest ones, or this many; the wrappers' size up to which they are broadcast.
-SHARE, LONG, BROADCAST_BYTES, PERIOD = 0.05, 25, 8 << 20, 8
+SHARE, LONG, BROADCAST_BYTES = 0.05, 25, 8 << 20
+#: Layouts of a host that one task aligns, and cells of an alignment's table: longer ones are halved first.
+LAYOUTS, CELLS = 64, 1 << 20
 TEXT = "#"
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)[^<>]*>|<[!?][^<>]*>")
@@ -67,10 +70,28 @@ def _slots(node) -> int:
     return (node == TEXT) if isinstance(node, str) else sum(map(_slots, node[1]))
 
 
+def _numbers(nodes: list, known: dict[str, int]) -> np.ndarray:
+    """Equal nodes have equal numbers."""
+    return np.array([known.setdefault(n if isinstance(n, str) else json.dumps(n), len(known)) for n in nodes], np.int64)
+
+
+def _repeats(ids: np.ndarray, period: int) -> bool:
+    """Whether any unit of so many nodes is followed by itself."""
+    same = ids[:-period] == ids[period:]
+    if period == 1:
+        return bool(same.any())
+    total = np.append(0, np.cumsum(same))
+    return bool((total[period:] - total[:-period] == period).any())
+
+
 def fold(nodes: list, stats: list[list]) -> tuple[list, list[list]]:
-    """Nodes with repeats of up to PERIOD nodes folded, shortest first; stats: a list of statistics for each node."""
-    period = 1
-    while period <= min(PERIOD, len(nodes)):
+    """Nodes with repeated units folded, of any length, the shortest first; stats: a list of statistics for each node."""
+    period, known = 1, {}
+    ids = _numbers(nodes, known)
+    while 2 * period <= len(nodes):
+        if not _repeats(ids, period):
+            period += 1
+            continue
         i, changed = 0, False
         out, kept = [], []
         while i < len(nodes):
@@ -91,10 +112,48 @@ def fold(nodes: list, stats: list[list]) -> tuple[list, list[list]]:
                 kept.append(stats[i])
                 i += 1
         nodes, stats = out, kept
+        ids = _numbers(nodes, known)
         period = 1 if changed and period > 1 else period + 1
     return nodes, stats
 
 
+def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with each beginning of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
+    return row
+
+
+def common(a: np.ndarray, b: np.ndarray) -> str:
+    """An alignment by a longest common subsequence: = for a number of both, - of a only, + of b only.
+
+    Its table is worked out a row at a time; where it would have more than CELLS cells, a is halved at the best place in b, so long pages take memory in proportion to their length.
+    """
+    m, n = len(a), len(b)
+    if not m or not n:
+        return "-" * m + "+" * n
+    if m > 1 and m * n > CELLS:
+        half = m // 2
+        at = int(np.argmax(_row(a[:half], b) + _row(a[half:][::-1], b[::-1])[::-1]))
+        return common(a[:half], b[:at]) + common(a[half:], b[at:])
+    best = np.zeros((m + 1, n + 1), np.int32)
+    for i in range(m - 1, -1, -1):
+        best[i, :-1] = np.maximum.accumulate(np.maximum(best[i + 1, :-1], np.where(b == a[i], best[i + 1, 1:] + 1, 0))[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < m or j < n:
+        if i < m and j < n and a[i] == b[j] and best[i, j] == best[i + 1, j + 1] + 1:
+            out.append("=")
+            i, j = i + 1, j + 1
+        elif j >= n or (i < m and best[i + 1, j] >= best[i, j + 1]):
+            out.append("-")
+            i += 1
+        else:
+            out.append("+")
+            j += 1
+    return "".join(out)
+
+
 def absorb(nodes: list, stats: list[list], groups: list) -> tuple[list, list[list]]:
     """Nodes in which single runs of a repeated unit of ``groups`` become repeated too."""
     for g in groups:
@@ -143,12 +202,8 @@ class Wrapper:
         self.absorb(_groups(nodes))
         nodes, stats = absorb(nodes, stats, _groups(self.nodes))
         a, b = self.nodes, nodes
-        m, n = len(a), len(b)
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(m - 1, -1, -1):
-            row, below, x = best[i], best[i + 1], a[i]
-            for j in range(n - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
+        known: dict[str, int] = {}
+        ways = common(_numbers(a, known), _numbers(b, known))
         out, kept, option = [], [], []
         i = j = 0
         fresh: dict[tuple, int] = {}
@@ -163,12 +218,12 @@ class Wrapper:
 
         runs = 0
         last = ""
-        while i < m or j < n:
-            if i < m and j < n and a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
+        for way in ways:
+            if way == "=":
                 kind, o = "both", self.option[i]
                 put(a[i], _join(self.stats[i], stats[j]), ("old", o, runs * bool(o) if last != "both" else runs) if o else None)
                 i, j = i + 1, j + 1
-            elif j >= n or (i < m and best[i + 1][j] >= best[i][j + 1]):
+            elif way == "-":
                 kind = "mine"
                 runs += last != kind
                 put(a[i], self.stats[i], ("mine", runs, self.option[i]))
@@ -216,18 +271,26 @@ def _names(nodes: list, into: dict[str, str]) -> dict[str, str]:
     return into
 
 
-def infer(samples: list[tuple[list, list[list], int]], share: float = SHARE) -> dict:
-    """A wrapper of samples (nodes, statistics of each node, pages): {nodes, template: slots with one text on distinct pages, main: slots of the text}."""
+def merge(samples: list[tuple[list, list[list], int]]) -> tuple[list, list]:
+    """(nodes, statistics of all slots) of a wrapper that takes in all samples (nodes, statistics of each node, pages); a sample may be a wrapper's nodes itself."""
     order = sorted(samples, key=lambda s: (-s[2], json.dumps(s[0])))
     w = Wrapper(order[0][0], order[0][1])
     for nodes, stats, _ in order[1:]:
         w.align(nodes, stats)
-    nodes, stats = w.tree()
+    return w.tree()
+
+
+def chosen(nodes: list, stats: list, share: float = SHARE) -> dict:
+    """A wrapper: {nodes, template: slots with one text on distinct pages, main: slots of the text}."""
     template = [i for i, s in enumerate(stats) if s[2] == s[3] and s[4] != s[5]]
     length = {i: s[0] / s[1] for i, s in enumerate(stats) if i not in set(template)}
     least = min(LONG, share * max(length.values(), default=0))
-    main = [i for i, n in length.items() if n >= least]
-    return {"nodes": nodes, "template": template, "main": main}
+    return {"nodes": nodes, "template": template, "main": [i for i, n in length.items() if n >= least]}
+
+
+def infer(samples: list[tuple[list, list[list], int]], share: float = SHARE) -> dict:
+    """A wrapper of samples."""
+    return chosen(*merge(samples), share)
 
 
 def _split(stats: list, nodes: list) -> list[list]:
@@ -277,20 +340,22 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _infer(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by host; one row (host, wrapper) for each."""
-    host, kinds = None, {}
+def _merged(batches: Iterator[pa.RecordBatch], share: float | None) -> Iterator[pa.RecordBatch]:
+    """Batches (host, part, nodes, stats, pages) sorted by host and part; one row for each part, or, with share, one (host, wrapper)."""
+    now, kinds = None, {}
 
     def row() -> pa.RecordBatch:
-        found = [(json.loads(k), _split(v[0], json.loads(k)), v[1]) for k, v in kinds.items()]
-        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(infer(found, share))], pa.string())], names=["of_host", "wrapper"])
+        nodes, stats = merge([(json.loads(k), _split(v[0], json.loads(k)), v[1]) for k, v in kinds.items()])
+        if share is not None:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([json.dumps(chosen(nodes, stats, share))], pa.string())], names=["of_host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([json.dumps(nodes)], pa.string()), pa.array([json.dumps(stats)], pa.string()), pa.array([sum(v[1] for v in kinds.values())])], names=["host", "nodes", "stats", "pages"])
 
     for b in batches:
-        for h, nodes, stats, pages in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if h != host and kinds:
+        for host, part, nodes, stats, pages in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if (host, part) != now and kinds:
                 yield row()
                 kinds = {}
-            host = h
+            now = host, part
             stats = json.loads(stats)
             if nodes in kinds:
                 kinds[nodes] = [_join(kinds[nodes][0], stats), kinds[nodes][1] + pages]
@@ -344,20 +409,29 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["page_id", "host", "matched", "slots", "fields", "text"])
 
 
-def extracted(pages: DataFrame, share: float = SHARE) -> DataFrame:
+def extracted(pages: DataFrame, share: float = SHARE, layouts: int = LAYOUTS) -> DataFrame:
     """(page_id, host, matched, slots, fields, text) for every row of pages.
 
     fields: the texts that the host's wrapper has slots for, with the slots' numbers; text: those of the main slots, a line each. A null html
     has matched false and nulls; an empty one has no fields; a null url is of the host ''; a page alone on its host, or with nothing but copies of
-    itself, has no template; repeated rows are extracted each; an empty table gives an empty result; columns other than page_id, url and html are not looked at. Wrappers are broadcast
+    itself, has no template; repeated rows are extracted each; long pages count whole; an empty table gives an empty result; columns other than page_id, url and html are not looked at. Wrappers are broadcast
     only if they are smaller than ``BROADCAST_BYTES`` in all, else joined by host.
     """
     spark = pages.sparkSession
     small_batches(spark, 500)
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    kinds = rows.where("html IS NOT NULL").mapInArrow(_samples, "host string, nodes string, stats string, pages bigint")
-    made = kinds.repartition("host").sortWithinPartitions("host").mapInArrow(lambda it: _infer(it, share), "of_host string, wrapper string")
+    found = "host string, nodes string, stats string, pages bigint"
+    kinds = shared_table(rows.where("html IS NOT NULL").mapInArrow(_samples, found), "layouts")
+    while True:  # layouts of a host are merged LAYOUTS at a time, so that no host is one task's; each round leaves a sixty-fourth
+        count = kinds.groupBy("host").agg(F.countDistinct("nodes").alias("n"))
+        most = count.agg(F.max("n")).first()[0] or 0
+        parts = kinds.join(count, "host").select("host", F.pmod(F.xxhash64("nodes"), F.ceil(F.col("n") / layouts)).alias("part"), "nodes", "stats", "pages")
+        grouped = parts.repartition("host", "part").sortWithinPartitions("host", "part")
+        if most <= layouts:
+            made = grouped.mapInArrow(lambda it: _merged(it, share), "of_host string, wrapper string")
+            break
+        kinds = shared_table(grouped.mapInArrow(lambda it: _merged(it, None), found), "layouts")
     wrappers = shared_table(made, "wrappers")
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
     side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers

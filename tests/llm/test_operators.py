@@ -307,6 +307,44 @@ def test_wrappers_lose_no_text(spark):
     assert all(r.fields == [long[k]] and r.text == long[k] for k in (10, 11) for r in got[k])
 
 
+def test_folding_and_alignment():
+    unit = [f"t{i}" for i in range(12)]
+    assert wrappers.fold(["a", *unit * 5, "b"], [[] for _ in range(62)])[0] == ["a", ["+", unit], "b"]
+    r = random.Random(6)
+    for n in (0, 1, 7, 40):
+        for cells in (1, 50, 1 << 20):
+            wrappers.CELLS = cells
+            a, b = ([r.randrange(4) for _ in range(k)] for k in (n, 30))
+            ways = wrappers.common(np.array(a, np.int64), np.array(b, np.int64))
+            assert ways.count("=") + ways.count("-") == len(a) and ways.count("=") + ways.count("+") == len(b)
+            i, j, best = 0, 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for w in ways:
+                assert w != "=" or a[i] == b[j]
+                i, j = i + (w != "+"), j + (w != "-")
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    best[x + 1][y + 1] = best[x][y] + 1 if a[x] == b[y] else max(best[x][y + 1], best[x + 1][y])
+            assert ways.count("=") == best[-1][-1]
+    wrappers.CELLS = 1 << 20
+    long = [np.array([r.randrange(3000) for _ in range(6000)]) for _ in range(2)]
+    assert wrappers.common(*long).count("-") < 6000  # 36 million cells
+
+
+def test_wrappers_of_many_layouts(spark):
+    r = random.Random(8)
+    data = []
+    for i in range(150):  # each page of the host has its own order of parts
+        parts = [f"<h{k}>{prose(7000 + 10 * i + k, 20)}</h{k}>" for k in range(1, 7)]
+        r.shuffle(parts)
+        data.append((i, "https://many.example/", "<div>All rights</div>" + "<hr>".join(parts[: 2 + i % 5])))
+    data.append((999, "https://many.example/", "<ul>" + "".join(f"<li><x{k % 50}>{prose(k, 4)}</x{k % 50}></li>" for k in range(1500)) + "</ul>"))
+    for how in ({}, {"layouts": 4}):
+        got = {x.page_id: x for x in wrappers.extracted(spark.createDataFrame(data, "page_id bigint, url string, html string"), **how).collect()}
+        for i, _, html in data:
+            texts = wrappers.tokens(html)[1]
+            assert got[i].matched and [t for t in texts if t != "All rights"] == [t for t in got[i].fields if t != "All rights"]
+
+
 def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "_fit", lambda labelled, landmarks=0: seen.extend(labelled))
@@ -318,6 +356,7 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
 def test_warc(spark):
     data = [(1, "http://a/", "x" * 100), (2, "http://b/\r\n", "é" * 40), (3, None, ""), (4, "u", None), (None, "n", "WARC/1.0\r\n\r\n"), (1, "http://a/", "x" * 100), (5, "big", prose(1, 60_000))]
     table = warc.chunk_table(spark.createDataFrame([(*d, 1) for d in data], "page_id bigint, url string, html string, chunk_no int"), chunk=64)
+    assert table.where("error IS NOT NULL").count() == 0
     got = collections.defaultdict(list)
     for r in table.collect():
         got[r.page_id, r.url].append(r)
@@ -329,6 +368,7 @@ def test_warc(spark):
         assert b"".join(bytes(r.payload) for r in mine) == raw
         assert [r.start for r in mine] == list(range(0, max(1, len(raw)), 64)) and [r.last for r in mine] == [False] * (len(mine) - 1) + [True]
         assert all(r.digest == hashlib.sha256(raw[: r.start + r.n_bytes]).hexdigest() for r in mine)
+    assert {(r.page_id, r.record_id) for rs in got.values() for r in rs} == {(i, f"urn:page:{'' if i is None else i}:{hashlib.sha256((h or '').encode()).hexdigest()[:16]}") for i, _, h in data}
     assert warc.chunk_table(table.selectExpr("page_id", "url", "'' AS html").limit(0)).count() == 0
 
 
@@ -338,7 +378,7 @@ def test_warc_query_returns_payload(spark):
 
     con = duckdb.connect()
     con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
-    rel, got = con.sql(queries.ORACLE_SQL["op8_warc_payload"]), queries.QUERIES["op8_warc_payload"](spark, "/root/testdata/sf0.001")
+    rel, got = con.sql(queries.ORACLE_SQL["op8_warc"]), queries.QUERIES["op8_warc"](spark, "/root/testdata/sf0.001")
     assert sorted(got.columns) == sorted(rel.columns) and "payload" in got.columns
     plain = lambda rs: sorted(repr(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)) for r in rs)
     assert plain(got.select(*rel.columns).collect()) == plain(rel.fetchall())
@@ -349,7 +389,23 @@ def test_warc_plain_and_foreign():
 
     body = b"WARC/1.0\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     for raw in (body, zlib.compress(body, 1, 31)):
-        assert [(r[2], r[7], r[6]) for r in warc.records(warc.Stream(io.BytesIO(raw)), 3)] == [(0, b"hel", False), (1, b"lo", True), (0, b"", True)]
+        assert [(r[0], r[3], r[8], r[7], r[9]) for r in warc.records(warc.Stream(io.BytesIO(raw)), 3, "f")] == [("urn:uuid:1", 0, b"hel", False, None), ("urn:uuid:1", 1, b"lo", True, None), ("f#1", 0, b"", True, None)]
+
+
+def test_broken_warc():
+    import io
+
+    good = b"WARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    cases = [(b"WARC/1.0\r\nWARC-Record-ID: <b>\r\n\r\nx", "b", "no content length"), (b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort", "f#1", "cut short"), (b"what\r\n", "f#1", "not a WARC record"), (b"WARC/1.0\r\nContent-Length: -1\r\n\r\n", "f#1", "no content length")]
+    for bad, record, error in cases:
+        rows = list(warc.records(warc.Stream(io.BytesIO(good + bad)), 4, "f"))
+        assert (rows[0][8], rows[0][7], rows[0][9]) == (b"abc", True, None) and (rows[-1][0], rows[-1][9], rows[-1][7]) == (record, error, False)
+    assert [r[8] for r in warc.records(warc.Stream(io.BytesIO(good + cases[1][0])), 4, "f")] == [b"abc", b"shor", b"t"]
+    packed = bytearray(zlib.compress(good, 1, 31) + zlib.compress(good, 1, 31))
+    at = len(packed) // 2 + 10
+    packed[at : at + 6] = b"\xff" * 6
+    rows = list(warc.records(warc.Stream(io.BytesIO(bytes(packed))), 4, "f"))
+    assert rows[0][8] == b"abc" and rows[-1][9].startswith("damaged") and list(warc.records(warc.Stream(io.BytesIO(b"")), 4)) == []
 
 
 def test_mixing(spark, docs, awkward, nothing):
