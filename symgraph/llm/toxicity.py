@@ -41,11 +41,13 @@ CLASS = np.full(256, _DROP, np.uint8)
 for _i in range(26):
     CLASS[65 + _i] = CLASS[97 + _i] = _i + 1
 CLASS[48:58] = _DIGIT
-CLASS[128:192] = _OTHER  # the byte that ends a character; its lead byte is dropped
+#: Of the characters U+00C0 to U+00FF, by the byte that ends them.
+_LATIN = np.full(256, _OTHER, np.uint8)
+_LATIN[[0x97, 0xB7]] = _DROP  # the signs of multiplication and division
 for _base, _letters in _FOLD.items():
     for _c in _letters + _letters.upper():
-        if len(_c) == 1:
-            CLASS[_c.encode()[-1]] = ord(_base) - 96
+        if len(_c) == 1 and _c.encode()[0] == 0xC3:
+            _LATIN[_c.encode()[1]] = ord(_base) - 96
 
 
 @dataclass
@@ -54,10 +56,24 @@ class Model:
     bias: float
 
 
+def _wide_characters(raw: np.ndarray, classes: np.ndarray) -> None:
+    """Classes of characters beyond ASCII, at their last bytes: Latin letters with accents are folded, signs, spaces and pictures are dropped, letters of other scripts are one class of their own."""
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    end = np.append(lead[1:], len(raw)) - 1
+    wide = raw[lead] > 127
+    lead, end = lead[wide], end[wide]
+    one, two = raw[lead], raw[np.minimum(lead + 1, len(raw) - 1)]
+    kind = np.where(one == 0xC3, _LATIN[raw[end]], _OTHER)
+    sign = (one == 0xC2) | ((one == 0xE2) & (two < 0xB0)) | ((one == 0xE3) & (two == 0x80)) | ((one == 0xF0) & (two == 0x9F))
+    classes[end] = np.where(sign, _DROP, kind)
+
+
 def fold(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all letters, and for each word its start among them and (last entry: end); and each row's first word."""
     starts, first = K.word_starts(raw, offsets)
     classes = CLASS[raw]
+    if len(raw) and raw.max() > 127:
+        _wide_characters(raw, classes)
     kept = np.append(0, np.cumsum(classes != _DROP))
     begin = np.append(kept[starts], kept[-1])
     return classes[classes != _DROP], begin, first
@@ -195,8 +211,8 @@ def _feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _against(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel of words with landmarks (rows of features)."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for c in range(0, len(words), 2000):
-        row, u, w = _feature_rows(words[c : c + 2000])
+    for c in range(0, len(words), 250):
+        row, u, w = _feature_rows(words[c : c + 250])
         order = np.argsort(row, kind="stable")
         row, u, w = row[order], u[order], w[order]
         heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
@@ -316,12 +332,21 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled documents, chosen by a hash of their id, so the same ones at every run."""
+    """Fit on at most ``most`` labelled documents, chosen by a hash of their id, so the same ones at every run.
+
+    Labels with null id or value, and documents with null id or text, teach nothing; of an id's several labels one counts, and each of its texts; empty texts have no
+    words; long ones count whole; with no label of either kind, or an empty table, the model finds nothing toxic.
+    """
     wanted = labels.select(F.col("doc_id").cast("bigint").alias("_of"), F.col("toxic").cast("int").alias("toxic")).where("_of IS NOT NULL AND toxic IS NOT NULL")
     wanted = wanted.dropDuplicates(["_of"]).orderBy(F.xxhash64("_of"), "_of").limit(most)
-    rows = texts(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "toxic").mapInArrow(_unit_rows, "doc_id bigint, units array<string>, toxic int").collect()
-    return _fit([(set(r["units"]), r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["units"]))])
-
+    rows = texts(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "toxic").mapInArrow(_unit_rows, "doc_id bigint, units array<string>, toxic int").toArrow()
+    lists = rows.column("units").combine_chunks()
+    flat = lists.flatten().dictionary_encode()
+    pool, which, ends = flat.dictionary.to_pylist(), flat.indices.to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))  # each unit's string is held once
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_pylist()
+    bags = [{pool[k] for k in which[ends[i] : ends[i + 1]].tolist()} for i in range(len(ids))]
+    del rows, lists, flat, which
+    return _fit([(bags[i], toxic[i]) for i in sorted(range(len(ids)), key=lambda i: (ids[i], sorted(bags[i])))])
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -357,7 +382,7 @@ def _clean_rows(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Ite
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without toxic rows; rows with null text stay, and so do all columns of docs."""
+    """docs without toxic rows; rows with null or empty text, and with a null id, are judged by their text or stay for want of one, repeated rows alike; all columns of docs stay, whatever their names; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     return only(docs, docs.columns).mapInArrow(lambda it: _clean_rows(it, sent.value, at), docs.schema)

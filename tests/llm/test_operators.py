@@ -257,6 +257,53 @@ def test_toxicity(spark, nothing):
     assert toxicity.without_toxic(nothing, toxicity.train(nothing, known)).count() == 0
 
 
+def naive_kernel(a: str, b: str) -> float:
+    """Common subsequences of three letters, each gap less than REACH letters, weighed by DECAY to the power of both spans, over the norms."""
+
+    def weights(w: str) -> dict:
+        w, out = "`" + w + "`", collections.defaultdict(float)
+        for i in range(len(w)):
+            for j in range(i + 1, min(i + toxicity.REACH, len(w) - 1) + 1):
+                for k in range(j + 1, min(j + toxicity.REACH, len(w) - 1) + 1):
+                    if k < len(w):
+                        out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(v * y[u] for u, v in x.items() if u in y) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
+
+def test_string_kernel():
+    words = ["idiot", "idxiot", "abcab", "aaaa", "idiots", "zzz"]
+    rows = {}
+    for w in words:
+        matrix = np.array([[0, *(ord(c) - 96 for c in w), 0]], np.int32)
+        _, u, v = toxicity.features(matrix)
+        rows[w] = dict(zip(u.tolist(), v.tolist(), strict=True))
+    for a in words:
+        for b in words:
+            got = sum(v * rows[b].get(u, 0) for u, v in rows[a].items())
+            assert abs(got - naive_kernel(a, b)) < 1e-9
+    assert naive_kernel("idiot", "idxiot") > 0.6 > naive_kernel("idiot", "abcab")
+
+
+def test_letters_by_their_code_points():
+    def classes(text: str) -> list:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return toxicity.fold(raw, np.array([0, len(raw)]))[0].tolist()
+
+    other = toxicity._OTHER
+    assert classes("рыба") == [other] * 4 and classes("©©©") == [] and classes("漢字") == [other] * 2
+    assert classes("Ïdíøt") == classes("idiot") and classes("i\u2019d\u200bi\u2014ot") == classes("idiot") and classes("i😀diot") == classes("idiot") and classes("3×4÷5") == classes("345")
+
+
+def test_toxicity_of_awkward_tables(spark):
+    docs = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "word " * 40_000 + "more"), (3, "word"), (3, "word")], "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, None), (None, 1)], "doc_id bigint, toxic int"))
+    assert sorted((r.doc_id, r.toxic) for r in toxicity.toxic_scores(docs, model).collect()) == [(2, False), (3, False), (3, False), (3, False)]
+    assert toxicity.without_toxic(docs, model).count() == 6
+
+
 def test_urls(spark):
     held = [("http://mega-casino-slots.example/bonus", 1), ("http://m.cheap-pills-now.example/en/12", 1), ("http://free-porn-xxx.example/watch", 1), ("http://poker-bonus.example/play", 1), ("http://adserver2.example/click?aff=3&cid=9", 1), ("http://science-weekly.example/articles/black-holes", 0), ("http://docs.history.example/guide/rome", 0), ("http://daily.example/2019/06/storm-season", 0), ("http://blog.gardening.example/posts/soil", 0), ("http://library.example/books/kant", 0)]
     pages = spark.createDataFrame([(i, u, "<p>", 1.0) for i, (u, _) in enumerate(held)] + [(90, None, "", 1.0), (None, "", None, 1.0), (0, held[0][0], "", 1.0), (91, "x" * 50_000, "", 1.0)], "page_id bigint, url string, html string, keep double")
