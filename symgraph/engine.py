@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.operators import graph, lookup, ranking, search
+from symgraph.operators.context import relevant_context
+from symgraph.report import explore
 from symgraph.sources.files import changes, scan
 from symgraph.sources.project import LocalFiles, Settings, git_files
 from symgraph.sources.store import GraphStore
@@ -107,6 +109,12 @@ class CodeGraph:
     def metrics(self) -> DataFrame:
         return graph.metrics(self.nodes, self.edges)
 
+    def relevant_context(self, query: str, **how: float) -> tuple[DataFrame, DataFrame]:
+        return relevant_context(self.nodes, self.edges, query, project=self.files.name_tokens(), **how)
+
+    def explore(self, query: str, most_chars: int | None = None, most_files: int | None = None) -> str:
+        return explore(self.nodes, self.edges, query, self.files.read, most_chars, most_files, self.files.name_tokens())
+
     def claims(self, text: str, claim_type: str | None = None, limit: int = 20) -> DataFrame:
         """Claims found by their words, each with the places that bear it out."""
         found = search.search_claims(self.store.table("summary_claims"), text, claim_type, limit)

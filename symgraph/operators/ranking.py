@@ -176,3 +176,11 @@ def unique_names(nodes: DataFrame, named: DataFrame, most: int = 3) -> DataFrame
     """(id) of named symbols whose name at most ``most`` nodes have."""
     rare = nodes.groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") <= most)
     return nodes.join(named.select("id").distinct(), "id", "left_semi").join(rare, "name", "left_semi").select("id")
+
+
+def callers_of(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, name, file_path, start_line, callers, files, test_files): of each root that anything uses, how many symbols do, and from which files, tests apart; both lists sorted."""
+    e = edges.where("kind IN ('calls', 'references', 'imports')").join(roots.select(F.col("id").alias("target")), "target", "left_semi").select("target", "source").distinct()
+    users = e.join(nodes.select(F.col("id").alias("source"), "file_path"), "source").withColumn("_test", is_test_file(F.col("file_path")))
+    found = users.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("callers"), F.array_sort(F.collect_set(F.when(~F.col("_test"), F.col("file_path")))).alias("files"), F.array_sort(F.collect_set(F.when(F.col("_test"), F.col("file_path")))).alias("test_files"))
+    return roots.select("id", "name", "file_path", "start_line").join(found, "id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import names as N
 from symgraph.operators import graph as G
-from symgraph.operators import linking, lookup, ranking, search
+from symgraph.operators import context, linking, lookup, ranking, search
 from symgraph.sources import files, imports, projection
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,6 +254,9 @@ _query("e12_within_budget", _CLUSTERED + "SELECT * FROM k WINDOW w AS (PARTITION
 _query("e8_heuristic", ", near AS (SELECT target AS id FROM edges WHERE source IN (SELECT id FROM nodes WHERE kind = 'class') UNION SELECT source FROM edges WHERE target IN (SELECT id FROM nodes WHERE kind = 'class')) SELECT file_path, CAST(sum(CASE WHEN id = 'function:p7' THEN 50 WHEN kind = 'class' THEN 10 WHEN id IN (SELECT id FROM near) THEN 3 ELSE 1 END) AS DOUBLE) AS score FROM nodes WHERE kind NOT IN ('import', 'export') GROUP BY 1")(lambda n, e: ranking.heuristic_scores(n, e, n.where(F.col("id") == P), n.where("kind = 'class'")))
 _query("e10_select_files", f", f AS (SELECT file_path, count(*)::DOUBLE AS score, {_TEST} AS low, bool_or(id = '{P}') AS named FROM nodes GROUP BY file_path) SELECT file_path, score, CAST(row_number() OVER (ORDER BY named DESC, low, score DESC, file_path) AS INTEGER) AS place FROM f QUALIFY place <= 12")(lambda n, e: ranking.select_files(n.groupBy("file_path").agg(F.count("*").cast("double").alias("score")), n.where(F.col("id") == P).select("file_path"), 12, "nation"))
 _query("e13_flow_chain", ", nm AS (SELECT id FROM nodes WHERE id IN ('function:p0', 'function:p1', 'function:p3', 'function:p15')), hop AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE kind = 'calls' AND source <> target), w(start, last, streak, walk) AS (SELECT id, id, 0, [id] FROM nm UNION ALL SELECT start, b, CASE WHEN b IN (SELECT id FROM nm) THEN 0 ELSE streak + 1 END, list_append(walk, b) FROM w JOIN hop ON a = last WHERE len(walk) < 8 AND NOT list_contains(walk, b) AND (streak = 0 OR b IN (SELECT id FROM nm))), f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY start, last ORDER BY len(walk), streak, walk) = 1), x AS (SELECT walk FROM f WHERE streak = 0 AND len(walk) >= 3 ORDER BY len(walk) DESC, walk LIMIT 1) SELECT CAST(unnest(range(0, len(walk))) AS INTEGER) AS step, unnest(walk) AS id FROM x")(lambda n, e: ranking.flow_chain(e, n.where("id IN ('function:p0', 'function:p1', 'function:p3', 'function:p15')")))
+_query("e5_named_seeds", ", f AS (SELECT *, lower(name) AS low FROM nodes WHERE lower(name) IN ('china', 'india', 'test_supplier_000000001') AND kind IN ('function', 'method', 'class')), k AS (SELECT * FROM f WHERE NOT " + _TEST + ") SELECT id, CASE WHEN count(*) OVER (PARTITION BY low) <= 3 THEN 50.0::DOUBLE ELSE 20 END AS score FROM k")(lambda n, e: context.named_seeds(n, "how do CHINA and INDIA use test_supplier_000000001".replace("test_supplier_000000001", "")))
+_query("e1_context_nodes")(lambda n, e: context.relevant_context(n, e, "CHINA customers", 3, 1, 40)[0].drop("is_exported"))
+_query("e4_context_edges")(lambda n, e: context.relevant_context(n, e, "CHINA customers", 3, 1, 40)[1])
 _query("e15_unique_names", ", c AS (SELECT name, count(*) AS n FROM nodes GROUP BY name) SELECT id FROM nodes JOIN c ON c.name = nodes.name WHERE n <= 3 AND kind IN ('class', 'method')")(lambda n, e: ranking.unique_names(n, n.where("kind IN ('class', 'method', 'function')")).join(n.where("kind IN ('class', 'method')").select("id"), "id", "left_semi"))
 _query("e14_blast_radius", f"SELECT e.target AS root, count(DISTINCT e.source) AS callers, count(DISTINCT n.file_path) FILTER (NOT {_TEST.replace('file_path', 'n.file_path')}) AS files, count(DISTINCT n.file_path) FILTER ({_TEST.replace('file_path', 'n.file_path')}) AS test_files FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind IN ('calls', 'references', 'imports') AND e.target IN (SELECT id FROM nodes WHERE is_exported) GROUP BY 1")(lambda n, e: ranking.blast_radius(n, e, n.where("is_exported")))
 _query("i_symbol_ids", "SELECT id, kind || ':' || substr(sha256(file_path || ':' || kind || ':' || name || ':' || start_line), 1, 32) AS symbol FROM nodes")(lambda n, e: n.select("id", N.symbol_id(F.col("file_path"), F.col("kind"), F.col("name"), F.col("start_line")).alias("symbol")))

