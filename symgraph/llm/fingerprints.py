@@ -131,3 +131,32 @@ def fingerprints(docs: DataFrame, opening: int = OPENING) -> DataFrame:
     keyed = texts(docs).select(F.xxhash64(F.substring("text", 1, opening)).alias("key"), "doc_id", "text")
     sorted_ = keyed.repartition("key").sortWithinPartitions("key", "doc_id", "text")
     return sorted_.mapInArrow(lambda it: _rows(it, opening), "doc_id bigint, n bigint, fingerprint bigint, leader bigint, common bigint")
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, text, spans)."""
+    for b in batches:
+        for lo, hi, raw, offsets in K.slices(b.column(1)):
+            codes, at = K.code_points(raw, offsets)
+            lists = b.column(2).slice(lo, hi - lo)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
+            start, length = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            inside = (start >= 0) & (length >= 0) & (start + length <= np.diff(at)[row])
+            row, start, length = row[inside], start[inside], length[inside]
+            found = Prefixes(codes).fingerprint(at[row] + start, length)
+            ids = b.column(0).slice(lo, hi - lo).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(length), pa.array(found)], names=["doc_id", "start", "length", "fingerprint"])
+
+
+def span_fingerprints(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, start, length, fingerprint) of the spans (doc_id, start, length), counted in characters; spans of one length are equal where their fingerprints are, wherever they stand.
+
+    A text's prefix arrays are made once for all its spans. Spans that don't lie within their text, or with a null, or of a document that isn't there or
+    has a null text, have no row; of an id's several texts each answers; empty spans have the fingerprint 0; repeated spans are answered
+    once for each text; an empty table gives an empty result; other columns are not looked at.
+    """
+    asked = spans.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length")).alias("s"))
+    asked = asked.where("doc_id IS NOT NULL AND s.start IS NOT NULL AND s.length IS NOT NULL").groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
+    both = texts(docs).join(asked, "doc_id").select("doc_id", "text", "spans")
+    return both.mapInArrow(_span_rows, "doc_id bigint, start bigint, length bigint, fingerprint bigint")

@@ -206,6 +206,21 @@ def test_span_equality():
     assert p.equal(np.array([0, 0]), np.array([3, 9]), np.array([6, 6])).tolist() == [False, True]
 
 
+def test_span_fingerprints(spark, docs, nothing):
+    texts = {i: t for i, t, *_ in rows() if i is not None and t is not None and i not in (1, 2)}
+    r = random.Random(12)
+    asked = [(i, s := r.randrange(len(t)), r.randrange(len(t) - s + 1)) for i, t in texts.items() if t for _ in range(8)]
+    asked += [(22, texts[22].index(prose(900, 70)), 200), (23, texts[23].index(prose(900, 70)), 200), (36, 1, 3), (36, 9, 3), (36, 8, 0)]  # the same passage in two documents, and in one
+    more = [(30, 0, 1), (0, -1, 2), (0, 0, 10**9), (None, 0, 1), (0, None, 1), (35, 0, 0), (777, 0, 1)]
+    got = {tuple(x)[:3]: x.fingerprint for x in fingerprints.span_fingerprints(docs, spark.createDataFrame(asked + more, "doc_id bigint, start int, length int")).collect()}
+    assert got.keys() == set(asked)
+    by = collections.defaultdict(set)
+    for (i, s, n), f in got.items():
+        by[texts[i][s : s + n]].add(f)
+    assert all(len(f) == 1 for f in by.values()) and len({f for fs in by.values() for f in fs}) == len(by) and by[""] <= {0}
+    assert fingerprints.span_fingerprints(nothing, spark.createDataFrame(asked, "doc_id bigint, start int, length int")).count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(300, 6)), 1).astype(np.float32)
