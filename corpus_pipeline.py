@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents without toxic ones, near copies and repeated passages, mixed to target weights and encoded."""
+"""The corpus pipeline: documents without toxic ones, near copies and repeated passages, mixed to target weights and encoded.
+
+Every stage takes a table with the columns of documents, whatever others it has and whatever they are called, and all but the last return
+them all. What a stage does with nulls, empty and very long texts, ties, repeated rows and empty tables is said at each.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +18,41 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go. The model is trained on the labelled ones among all documents."""
+    """Toxic documents go. The model is trained on the labelled ones among all documents.
+
+    Rows with a null or empty text stay; repeated rows are judged alike; texts are judged whole, however long; without labels of both kinds, and from an empty table, nothing goes.
+    """
     return toxicity.without_toxic(docs, toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the lowest id.
+
+    Rows with a null id or text, and texts without words, stay; rows that repeat an id stay or go together; long texts count whole; an empty table stays empty.
+    """
     return ngram_join.keep_first(docs)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of passages that repeat, the first stays."""
+    """Of passages that repeat, the first stays, by document id and place.
+
+    Rows with a null id or text and empty texts stay as they are; rows that repeat an id and its text are cut alike, others of an id by their own spans; a document
+    of which nothing is left goes; long texts count whole; an empty table stays empty.
+    """
     return suffix_dedup.without_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of the documents' tokens, in their sources' target shares."""
+    """Blocks of the documents' tokens, in their sources' target shares.
+
+    Rows with a null id or text, and texts without words, have no tokens; a null source is the source ''; repeated rows are tokens each time; a long text fills many blocks; an
+    empty table gives no blocks. A block has the id of its first document.
+    """
     return mixing.as_documents(mixing.mixed_blocks(docs), docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each block."""
+    """Piece ids of each block, whole however long; rows with a null id or text have none, an empty text has no pieces, repeated rows are encoded each, an empty table gives no rows."""
     return pieces.encode(docs)
 
 
