@@ -10,6 +10,8 @@ words which also stands elsewhere, in another document or in the same one, is fo
    search over their prefix hashes gives the longest common extension, and the next word decides. Extensions of neighbours are
    then verified word by word. Windows with l words before the anchor are equal where the suffixes lie in one run of extensions
    of at least ``least - l`` and the l words before are equal too (again by hash, then verified).
+   A passage that very many documents share is not one task's: of an anchor with more than ``HOT`` places the windows travel by their
+   hashes, one row each, and are counted by Spark's aggregation, which combines before it shuffles.
 4. Of equal windows the one with the lowest (doc_id, position) is the first, the others are copies; overlapping windows of one
    kind make one span.
 """
@@ -24,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import kernels as K
-from symgraph.llm.tables import fresh, only, texts
+from symgraph.llm.tables import fresh, only, shared_table, texts
 
-LEAST, GRAM = 50, 16
+LEAST, GRAM, HOT = 50, 16, 100_000
+#: Undoes a multiplication by the hashes' base.
+_UNBASE = K.U64(pow(int(K.BASE), -1, 1 << 64))
 
 
 def anchors(words: np.ndarray, rows: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +57,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> It
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in K.whole_groups(batches, "h", 20_000):
+    """Rows whose h another row has too. Of the rows before a batch only the last is held, however many have one h."""
+    last, sent = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
         h = b.column(0).to_numpy(zero_copy_only=False)
         twice = np.zeros(len(h), bool)
         twice[1:] = h[1:] == h[:-1]
         twice[:-1] |= twice[1:]
+        if last is not None and last.column(0)[0].as_py() == h[0]:
+            twice[0] = True
+            if not sent:
+                yield last
         yield b.filter(pa.array(twice))
+        last, sent = b.slice(b.num_rows - 1), bool(twice[-1])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -217,6 +230,37 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(copy)], names=["doc_id", "key", "start_word", "end_word", "copy"])
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows of contexts to a row (kind, doc_id, key, pos, l) for each of their windows; kind is the window's hash with that of its anchor and its place in it."""
+    left, width = least - gram, 2 * least - gram
+    back = K.powers(left + 1, _UNBASE)
+    for b in batches:
+        for c in range(0, b.num_rows, 4096):
+            part = b.slice(c, 4096)
+            h, doc, key, pos, before, after = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            around = K.column_bytes(part.column(6))[0].view(np.uint32).reshape(-1, width)
+            prefix = np.zeros((len(h), width + 1), K.U64)
+            np.cumsum((around.astype(K.U64) + K.U64(1)) * K.power_table(width)[:width], axis=1, out=prefix[:, 1:])
+            found = []
+            for l in range(left + 1):
+                live = np.flatnonzero((before >= l) & (after >= least - l))
+                start = left - l
+                window = (prefix[live, start + least] - prefix[live, start]) * back[start]
+                found.append((K.mix(K.mix(window) ^ h[live].view(K.U64) * K.BASE + K.U64(l)).view(np.int64), doc[live], key[live], pos[live], np.full(len(live), l)))
+            kind, doc, key, pos, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(place.astype(np.int32))], names=["kind", "doc_id", "key", "pos", "l"])
+
+
+def _hot_spans(around: DataFrame, least: int, gram: int) -> DataFrame:
+    """The same as ``_windows`` for anchors with any number of places, by aggregation."""
+    each = around.dropDuplicates(["h", "doc_id", "key", "pos"]).mapInArrow(lambda it: _window_rows(it, least, gram), "kind bigint, doc_id bigint, key bigint, pos int, l int")
+    me = F.struct("doc_id", "key", "pos")
+    first = each.groupBy("kind").agg(F.count("*").alias("_n"), F.min(me).alias("_first")).where("_n > 1").select("kind", "_first")
+    both = each.hint("shuffle_merge").join(first, "kind").withColumn("copy", me != F.col("_first"))
+    reach = both.groupBy("doc_id", "key", "pos", "copy").agg(F.max("l").alias("_far"), F.min("l").alias("_near"))
+    return reach.select("doc_id", "key", (F.col("pos") - F.col("_far")).alias("start_word"), (F.col("pos") + least - F.col("_near")).alias("end_word"), "copy")
+
+
 def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in K.whole_groups(batches, "doc_id", 20_000):
         doc, key, s, e, copy = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
@@ -230,28 +274,35 @@ def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(key[at]), pa.array(s[at].astype(np.int32)), pa.array((reach[last] - part[last] * (1 << 40)).astype(np.int32)), pa.array(copy[at] == 1)], names=["doc_id", "key", "start_word", "end_word", "copy"])
 
 
-def _spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
+def _spans(docs: DataFrame, least: int, gram: int, hot: int = HOT) -> DataFrame:
     """(doc_id, key, start_word, end_word, copy); key is the text's hash, so rows that share an id with other texts are told apart."""
     spans_type = "doc_id bigint, key bigint, start_word int, end_word int, copy boolean"
     text = texts(docs).withColumn("key", F.xxhash64("text"))
     found = text.mapInArrow(lambda it: _anchor_rows(it, least, gram), "h bigint, doc_id bigint, key bigint, pos int")
-    found = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h bigint, doc_id bigint, key bigint, pos int")
+    found = shared_table(found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h bigint, doc_id bigint, key bigint, pos int"), "anchors")
+    many = found.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("h")
     asked = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
     around = text.hint("shuffle_merge").join(asked, ["doc_id", "key"]).select("doc_id", "text", "key", "at")
     around = around.mapInArrow(lambda it: _contexts(it, least, gram), "h bigint, doc_id bigint, key bigint, pos int, before int, after int, around binary")
-    spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _windows(it, least, gram), spans_type)
+    if many.isEmpty():
+        few, rest = around, None
+    else:
+        many = shared_table(many, "hot-anchors")
+        few, rest = around.join(many, "h", "left_anti"), around.join(many, "h", "left_semi")
+    spans = few.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _windows(it, least, gram), spans_type)
+    spans = spans if rest is None else spans.unionByName(_hot_spans(rest, least, gram))
     return spans.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_islands, spans_type)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, copy): spans of words that lie in repeated windows of ``least`` words.
 
     copy is false for spans of windows that are the first of their kind (lowest doc_id, then position) and true for the others, so a
     passage may be in a span of either kind. Rows with null id or text, and texts of fewer than ``least`` words, have no spans; rows
     that repeat an id and its text count as one occurrence, and texts that share an id are texts of their own, the order among them that of their hashes;
-    long texts count whole; an empty table gives an empty result; other columns are not looked at.
+    long texts count whole; an empty table gives an empty result; other columns are not looked at. ``hot`` says how work is cut up; no result depends on it.
     """
-    return _spans(docs, least, gram).drop("key")
+    return _spans(docs, least, gram, hot).drop("key")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], named: str) -> Iterator[pa.RecordBatch]:

@@ -154,9 +154,12 @@ def spans(texts: list[tuple[int, str]], least: int) -> set:
 def test_repeated_spans(spark, docs, awkward, nothing):
     plain = [(i, t) for i, t, *_ in rows() if i is not None and t is not None]
     some = spark.createDataFrame([(i, t, None, None, None) for i, t in plain], DOCS)
-    assert {tuple(r) for r in suffix_dedup.repeated_spans(some).collect()} == spans(plain, 50)
+    for hot in (suffix_dedup.HOT, 2, 0):  # anchors with more places than these go another way
+        assert {tuple(r) for r in suffix_dedup.repeated_spans(some, hot=hot).collect()} == spans(plain, 50)
     loop = [(1, " ".join(["one", "two", "three"] * 60)), (2, prose(3, 90)), (3, prose(3, 90))]
-    assert {tuple(r) for r in suffix_dedup.repeated_spans(spark.createDataFrame([(*x, None, None, None) for x in loop], DOCS)).collect()} == spans(loop, 50)
+    for hot in (suffix_dedup.HOT, 0):
+        assert {tuple(r) for r in suffix_dedup.repeated_spans(spark.createDataFrame([(*x, None, None, None) for x in loop], DOCS), hot=hot).collect()} == spans(loop, 50)
+    assert suffix_dedup.repeated_spans(nothing, hot=0).count() == 0
     assert suffix_dedup.repeated_spans(nothing).count() == 0
     out = suffix_dedup.without_copies(awkward)
     assert out.columns == awkward.columns
