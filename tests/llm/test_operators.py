@@ -119,6 +119,58 @@ def test_no_planted_pair_is_lost(spark, how):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def near_copies(texts: int, copies: int, length: int, changes: int, seed: int = 5) -> list[tuple]:
+    """Near, never equal, copies of a few texts, some of them long, and texts that are like no other."""
+    r, out = random.Random(seed), []
+    for k in range(texts):
+        base = prose(7000 + k, length).split()
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randrange(1, changes)):
+                w[r.randrange(length)] = r.choice(WORDS) + r.choice(("x", "y", "z"))
+            out.append(" ".join(w))
+    out += [prose(6000 + k, length) for k in range(copies // 4)] + out[:9]  # equal ones too
+    return [(i, t, "en", "s", 1) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("how", [{}, {"few": 4, "cell": 7}, {"few": 2, "cell": 30, "most": 16}])
+def test_groups_of_near_copies_are_blocks(spark, how):
+    """What travels follows the documents, not the square of a group's size; links, classes and pairs are those of all pairs."""
+    data = near_copies(2, 110, 90, 18)
+    want, docs = brute(data), spark.createDataFrame(data, DOCS)
+    links = collections.Counter(x for p in want for x in p)
+    first = grouped({d[0] for d in data}, want)
+    assert len(want) > 1_500 and len(want) < 2 * 110 * 109 // 2
+    assert {(r.doc_id, r.class_id, r.links) for r in ngram_join.classes(docs, **how).collect()} == {(i, first[i], links[i]) for i in first}
+    assert {r.doc_id for r in ngram_join.keep_first(docs, **how).collect()} == {i for i in first if first[i] == i}
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.similar_pairs(docs, **how).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_rows_of_a_group_grow_with_its_size(spark):
+    written = []
+    for copies in (150, 600):
+        docs = spark.createDataFrame(near_copies(1, copies, 60, 6), DOCS)
+        kept, ngram_join.shared_table = ngram_join.shared_table, lambda df, name: written.append((name, made := kept(df, name), made.count())) or made
+        try:
+            ngram_join.classes(docs).count()
+        finally:
+            ngram_join.shared_table = kept
+    small, large = (n for name, _, n in written if name == "pairs")
+    assert large <= 8 * small and large < 600 * 20
+
+
+def test_product():
+    r = np.random.default_rng(3)
+    for left, right, width in ((40, 0, 30), (30, 50, 4000), (90, 60, 300)):
+        x = r.random((left + right, width)) < r.random(width) ** 4
+        owner, gram = np.nonzero(x)
+        y = x.astype(int)
+        want = y[:left] @ (y[left:] if right else y).T
+        got = ngram_join.product(gram.astype(np.uint64), owner, left, right)
+        assert (got == want)[~np.eye(*want.shape, dtype=bool) if not right else slice(None)].all()
+
+
 def test_overlaps():
     r = random.Random(3)
     sets = [np.array(sorted(r.sample(range(300), r.randrange(5, 90))), np.uint64) for _ in range(40)] + [np.arange(10, 60, dtype=np.uint64)] * 2
