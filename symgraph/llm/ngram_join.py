@@ -672,10 +672,10 @@ def copies(members: DataFrame) -> DataFrame:
     return members.where("n > 0").distinct().groupBy("finger").agg(F.count("*").alias("here"))
 
 
-def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = LIST, group: int = GROUP, hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST, few: int = FEW, cell: int = CELL, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = LIST, group: int = GROUP, hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST, few: int = FEW, cell: int = CELL, whole: bool = True, links: bool = True) -> tuple[DataFrame, DataFrame]:
     """Members (finger, n, doc_id), and pairs (a, b, jaccard, links) of different sets whose Jaccard is at least ``threshold``: all of them, a < b, links null.
 
-    Unless ``whole``: pairs of which one is in no block, as above; of blocks, edges that connect what is similar (jaccard null), and for each set how many documents of blocks are similar to it (b null).
+    Unless ``whole``: pairs of which one is in no block, as above; of blocks, edges that connect what is similar (jaccard null), and for each set how many documents of blocks are similar to it (b null; without ``links`` these numbers mean nothing).
     Members has a row for each row of docs with an id; n is 0 where the text is null or has no words. ``most`` to ``cell`` say how work is cut up; no result depends on them.
     """
     spark = docs.sparkSession
@@ -713,7 +713,7 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: i
     if not known:
         return members, pairs
     own = sets.where("cells > 0").select("finger", "n", "grams", "home", F.col("cells").alias("mine"))
-    own = own.withColumn("here", F.lit(1)) if whole else own.join(copies(members), "finger")
+    own = own.withColumn("here", F.lit(1)) if whole or not links else own.join(copies(members), "finger")
     across = own.join(met.where("cells > 0").select(F.col("a").alias("finger"), F.col("b").alias("other"), F.col("cells").alias("others")).distinct(), "finger")
     blocks = _cells(own.withColumns({"other": F.col("home"), "others": F.col("mine")}).unionByName(across))
     blocks = blocks.repartition("lo", "hi", "i", "j").sortWithinPartitions("lo", "hi", "i", "j", "side")
@@ -793,7 +793,7 @@ def keep_first(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **how:
     if any of their texts has a group with a lower id. Long texts count whole; an empty table stays empty.
     """
     of = fresh(docs, "_gone")
-    members, pairs = set_pairs(docs, n, threshold, whole=False, **how)
+    members, pairs = set_pairs(docs, n, threshold, whole=False, links=False, **how)
     gone = members.where("n > 0").join(_classes(members, pairs.where("b IS NOT NULL")), "finger").where("class_id < doc_id").select(F.col("doc_id").alias(of)).distinct()
     return docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
 

@@ -57,6 +57,29 @@ def test_stages(spark, stages):
     assert sorted(r.text for r in pieces.decode(ids).collect()) == sorted(r.text for r in blocks.collect())
 
 
+def test_near_copies_stage_does_not_write_all_pairs(spark):
+    """Groups are found from a few edges a document, however large a group of near copies is, and one document of each stays."""
+    import random
+
+    import corpus_pipeline
+    from symgraph.llm import ngram_join
+
+    r, rows, cuts = random.Random(8), [], []
+    base = [word(r.randrange(4096)) for _ in range(60)]
+    for i in range(300):
+        w = list(base)
+        w[r.randrange(60)] = w[r.randrange(60)] = f"other{i % 50}"
+        rows.append((i + 5, " ".join(w)))
+    rows += [(1000 + i, " ".join(word(r.randrange(4096)) for _ in range(60))) for i in range(5)]
+    kept, ngram_join.cut = ngram_join.cut, lambda df: (cuts.append((made := kept(df)).count()), made)[1]
+    try:
+        got = corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), DATA)
+        assert {x.doc_id for x in got.collect()} == {5, *range(1000, 1005)}
+    finally:
+        ngram_join.cut = kept
+    assert max(cuts) < 305 * 40 < 300 * 299 // 2  # rows of any step's table
+
+
 def word(i: int) -> str:
     return "w" + "".join("bcdfghjk"[(i >> 3 * k) & 7] + "aeiou"[(i >> 3 * k) % 5] for k in range(4))
 
