@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from symgraph.functions.names import is_test_file
 from symgraph.functions.terms import is_test_query
+from symgraph.operators.walk import walked
 from symgraph.plans.lineage import cut
 
 ALPHA, ROUNDS = 0.25, 25
@@ -17,31 +18,18 @@ KINDS = ("calls", "references", "imports", "extends", "implements", "contains",
 def random_walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
     """(id, score): walks over undirected edges among nodes that restart, with a chance of alpha, at seeds (id, and their ``score``, or 1); parallel edges weigh more.
 
-    The mass of nodes without edges is spread evenly. Without seeds, or with none that scores, all nodes score alike. Every fifth round is
-    checkpointed; the adjacency is made, and laid out by its key, once.
+    The mass of nodes without edges is spread evenly. Without seeds, or with none that scores, all nodes score alike. See ``walk.walked`` for how.
     """
     ids = nodes.select("id").distinct()
-    e = edges.where(F.col("kind").isin(*KINDS) & (F.col("source") != F.col("target")))
-    e = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b")))
-    weight = both.groupBy("a", "b").agg(F.count("*").alias("w"))
-    degree = weight.groupBy("a").agg(F.sum("w").alias("_d"))
-    adjacent = cut(weight.join(degree, "a").select("a", "b", (F.col("w") / F.col("_d")).alias("p")).repartition("a"))
     start = seeds.select("id", F.col("score") if "score" in seeds.columns else F.lit(1.0).alias("score")).groupBy("id").agg(F.max("score").cast("double").alias("_s"))
     found = start.agg(F.sum("_s")).first()[0] or 0.0
     n = ids.count()
-    if not found:
+    if not found or not n:
         return ids.withColumn("score", F.lit(1.0 / max(n, 1)))
-    base = ids.join(start, "id", "left").join(degree.select(F.col("a").alias("id"), F.lit(True).alias("_linked")), "id", "left")
-    base = cut(base.select("id", (F.coalesce("_s", F.lit(0.0)) / found).alias("restart"), F.coalesce("_linked", F.lit(False)).alias("linked")))
-    rank = base.select("id", F.col("restart").alias("score"), "linked")
-    for i in range(rounds):
-        loose = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("score"))), F.lit(0.0)).alias("loose")))  # one row
-        moved = rank.where("score > 0").join(adjacent, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("got"))
-        rank = base.join(moved, "id", "left").crossJoin(loose).select("id", (alpha * F.col("restart") + (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("score"), "linked")
-        if i % 5 == 4 and i < rounds - 1:
-            rank = cut(rank)
-    return rank.select("id", "score")
+    e = edges.where(F.col("kind").isin(*KINDS) & (F.col("source") != F.col("target"))).select("source", "target")
+    if rounds < 1:
+        return ids.join(start, "id", "left").select("id", (F.coalesce("_s", F.lit(0.0)) / found).alias("score"))
+    return walked(ids, e, start.select("id", (F.col("_s") / found).alias("restart")), n, alpha, rounds)
 
 
 def file_scores(nodes: DataFrame, scores: DataFrame) -> DataFrame:

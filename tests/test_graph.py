@@ -76,6 +76,37 @@ def test_random_walk(spark, edges):
     assert all(abs(r.score - want[r.id]) < 1e-12 for r in got) and len(got) == 6
 
 
+def test_random_walk_over_blocks(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from symgraph.operators import walk
+
+    for name, value in (("ALONE_NODES", 0), ("LEAST", 3), ("CELL", 20)):
+        monkeypatch.setattr(walk, name, value)
+    rnd, n = random.Random(7), 60
+    pairs = [(rnd.randrange(n - 5), rnd.randrange(n - 5)) for _ in range(300)]  # the last five have no edges
+    nodes = spark.createDataFrame([(f"v{i}", "function", "x", "x", "p.py", "python", 1, 2, False) for i in range(n)], NODE)
+    edges = spark.createDataFrame([("calls", f"v{a}", f"v{b}", 1) for a, b in pairs] + [("calls", "v1", "gone", 1), ("calls", "gone", "v2", 1), ("other", "v3", "v59", 1)], EDGE)
+    w = np.zeros((n, n))
+    for a, b in pairs:
+        if a != b:
+            w[a, b] += 1
+            w[b, a] += 1
+    start = np.zeros(n)
+    start[4], start[57] = 0.75, 0.25
+    want, deg = start, w.sum(1)
+    for _ in range(25):
+        want = 0.25 * start + 0.75 * (w.T @ np.where(deg > 0, want / np.maximum(deg, 1), 0) + want[deg == 0].sum() / n)
+    seeds = spark.createDataFrame([("v4", 3.0), ("v57", 1.0)], "id string, score double")
+    got = {r.id: r.score for r in ranking.random_walk(nodes, edges, seeds).collect()}
+    assert len(got) == n and all(abs(got[f"v{i}"] - want[i]) < 1e-12 for i in range(n))
+    plan = ranking.random_walk(nodes, edges, seeds, rounds=4)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("SortMergeJoin") + plan.count("HashJoin") <= 2  # edges are packed once; no round joins them
+    assert {r.id: r.score for r in ranking.random_walk(nodes, edges, seeds, rounds=0).collect()}["v4"] == 0.75
+
+
 def test_file_ranking_takes_all_rounds(spark, monkeypatch):
     took = []
 
