@@ -476,6 +476,13 @@ def test_import_of_a_crowded_name(spark):
     _answered_soon(linking.by_import(_asking(spark, "f"), _crowded(spark, "f", "f"), imports), ("t0", "import", 0.9))
 
 
+def test_module_of_a_crowded_name(spark):
+    from symgraph.sources.imports import extract_imports
+
+    imports = extract_imports(spark.createDataFrame([("app/main.py", "import lib.m\n", "python")], "path string, content string, language string"))
+    _answered_soon(linking.by_module(_asking(spark, "m.f"), _crowded(spark, "f", "f"), imports), ("t0", "import", 0.85))
+
+
 def test_import_files():
     from symgraph.sources import imports as I
 
