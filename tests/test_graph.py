@@ -483,6 +483,15 @@ def test_module_of_a_crowded_name(spark):
     _answered_soon(linking.by_module(_asking(spark, "m.f"), _crowded(spark, "f", "f"), imports), ("t0", "import", 0.85))
 
 
+def test_qualified_name_of_many(spark):
+    _answered_soon(linking.by_qualified_name(_asking(spark, "A::f"), _crowded(spark, "f", "A::f")), ("t0", "qualified-name", 0.85))
+    nodes = spark.createDataFrame([(str(i), "method", n, q, f"p{i}.py", "python", 1, 2, False) for i, (n, q) in enumerate([("f", "ab.c::f"), ("f", "b.c::f"), ("g", "b.c::f"), ("f", "f"), ("h", "xA::h"), ("h", "A::h"), ("h", "A::h")])], NODE)
+    asked = ["b.c::f", "c::f", "ab.c::f", "A::h", "::f", "no::f"]
+    refs = spark.createDataFrame([(i, "x", n, "calls", "q.py", "python", 1) for i, n in enumerate(asked)], REFS)
+    got = {asked[r.ref_id]: (r.target, r.confidence) for r in linking.by_qualified_name(refs, nodes).collect()}
+    assert got == {"b.c::f": ("0", 0.85), "c::f": ("0", 0.85), "ab.c::f": ("0", 0.95), "A::h": ("4", 0.85), "::f": ("0", 0.85)}
+
+
 def test_import_files():
     from symgraph.sources import imports as I
 
