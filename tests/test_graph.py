@@ -492,6 +492,13 @@ def test_qualified_name_of_many(spark):
     assert got == {"b.c::f": ("0", 0.85), "c::f": ("0", 0.85), "ab.c::f": ("0", 0.95), "A::h": ("4", 0.85), "::f": ("0", 0.85)}
 
 
+def test_statistics_of_a_crowded_name(spark):
+    refs = _asking(spark, "run").unionByName(_asking(spark, "nowhere", 5))
+    assert [tuple(r) for r in linking.resolved_stats(refs, _crowded(spark, "run", "run")).orderBy("method").collect()] == [("exact-match", 20_000), ("unresolved", 5)]
+    plan = linking.resolve(refs, _crowded(spark, "run", "run"))._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no task gets all references of a name
+
+
 def test_import_files():
     from symgraph.sources import imports as I
 
