@@ -499,6 +499,13 @@ def test_statistics_of_a_crowded_name(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no task gets all references of a name
 
 
+def test_edges_of_a_crowded_name(spark):
+    e = linking.edges_of(_asking(spark, "run"), _crowded(spark, "run", "run"))
+    assert {tuple(r) for r in e.select("kind", "target", "provenance").distinct().collect()} == {("calls", "t0", "resolution:exact-match:0.40")} and e.select("source", "line").distinct().count() == 20_000
+    plan = e._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_import_files():
     from symgraph.sources import imports as I
 
