@@ -346,6 +346,14 @@ def test_queries_of_nodes_make_no_edges(spark, monkeypatch):
         queries.QUERIES["l9_callers"](spark, DATA + "/")
 
 
+def test_edges_are_shuffled_as_numbers(spark):
+    import re
+
+    plan = projection.edges(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_partkey" in plan and not re.search(r"hashpartitioning\((o_custkey|l_suppkey)#\d+L?, l_partkey", plan)  # counted where they are sorted
+    assert len(re.findall(r"hashpartitioning\(target", plan)) == 1 and {tuple(r) for r in projection.edges(spark, DATA).select("kind").distinct().collect()} == {("calls",), ("references",), ("imports",), ("contains",), ("extends",)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
