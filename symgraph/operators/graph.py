@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgraph.functions.names import dirname
-from symgraph.plans.lineage import cut
+from symgraph.plans.lineage import cut, small
 
 
 def steps(edges: DataFrame, direction: str, kinds: tuple[str, ...] = ()) -> DataFrame:
@@ -26,15 +26,15 @@ def _ways(edges: DataFrame, direction: str, kinds: tuple[str, ...] = ()) -> Data
 def levels(edges: DataFrame, start: DataFrame, direction: str, kinds: tuple[str, ...] = (), depth: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """(id, depth): everything within depth steps of start (id) at its least depth, start itself at 0; no depth: all.
 
-    A level is a join of the frontier with the edges, made distinct after it and not before; edges from a frontier of few rows are
-    found by a broadcast that Spark chooses by size. Each level is checkpointed, and the loop ends when one is empty. through: (id) of the only nodes that may be entered.
+    A level is a join of the frontier with the edges, made distinct after it and not before; a frontier of few nodes, by count, is broadcast,
+    so that a level reads the edges and shuffles only what it finds. Each level is checkpointed, and the loop ends when one is empty. through: (id) of the only nodes that may be entered.
     """
     hop = _ways(edges, direction, kinds)
     seen = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, d = seen.select("id"), 0
     while depth is None or d < depth:
         d += 1
-        ahead = hop.join(frontier.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        ahead = hop.join(small(frontier).withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         ahead = ahead if through is None else ahead.join(through, "id", "left_semi")
         frontier = cut(ahead.join(seen.select("id"), "id", "left_anti"))
         if frontier.isEmpty():
@@ -141,7 +141,7 @@ def impact(nodes: DataFrame, edges: DataFrame, node: str, depth: int = 3) -> Dat
         level = frontier if seen is None else frontier.join(seen.select("id"), "id", "left_anti")
         new = level = cut(level.select("id").distinct())
         while d < depth and not new.isEmpty():
-            kids = inside.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+            kids = inside.join(small(new).withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
             kids = kids.join(level, "id", "left_anti")
             new = cut(kids if seen is None else kids.join(seen.select("id"), "id", "left_anti"))
             level = level.unionByName(new)
@@ -159,9 +159,9 @@ def path(edges: DataFrame, start: str, end: str, kinds: tuple[str, ...] = (), mo
     goal = reached.where(F.col("id") == end).first()
     if goal is None:
         return spark.createDataFrame([], "step int, id string")
-    hop, way = steps(edges, "outgoing", kinds), [(goal["depth"], end)]
+    hop, way = _ways(edges, "outgoing", kinds), [(goal["depth"], end)]
     for d in range(goal["depth"] - 1, -1, -1):  # one row a step
-        before = hop.where(F.col("b") == way[-1][1]).join(reached.where(F.col("depth") == d), F.col("a") == F.col("id")).agg(F.min("id")).first()[0]
+        before = hop.where(F.col("b") == way[-1][1]).join(small(reached.where(F.col("depth") == d)), F.col("a") == F.col("id"), "left_semi").agg(F.min("a")).first()[0]
         way.append((d, before))
     return spark.createDataFrame(sorted(way), "step int, id string")
 

@@ -354,6 +354,15 @@ def test_edges_are_shuffled_as_numbers(spark):
     assert len(re.findall(r"hashpartitioning\(target", plan)) == 1 and {tuple(r) for r in projection.edges(spark, DATA).select("kind").distinct().collect()} == {("calls",), ("references",), ("imports",), ("contains",), ("extends",)}
 
 
+def test_path_makes_no_edges_distinct(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("all edges are shuffled")
+
+    monkeypatch.setattr(G, "steps", none)
+    chain = spark.createDataFrame([("calls", f"n{i:02}", f"n{i + 1:02}", k) for i in range(5) for k in (1, 2)] + [("calls", "n00", "n0x", 1), ("calls", "n0x", "n02", 1)], EDGE)
+    assert [r.id for r in G.path(chain, "n00", "n05", ("calls",)).orderBy("step").collect()] == ["n00", "n01", "n02", "n03", "n04", "n05"]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
