@@ -363,6 +363,20 @@ def test_path_makes_no_edges_distinct(spark, monkeypatch):
     assert [r.id for r in G.path(chain, "n00", "n05", ("calls",)).orderBy("step").collect()] == ["n00", "n01", "n02", "n03", "n04", "n05"]
 
 
+def _plans(monkeypatch, module):
+    """The plans of what a module checkpoints from now on."""
+    found, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: (found.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    return found
+
+
+def test_few_nodes_are_broadcast_to_the_edges(spark, monkeypatch, edges):
+    plans = _plans(monkeypatch, G)
+    assert {tuple(r) for r in G.call_graph(edges, "a").na.fill(-1).collect()} == {("a", 0, 0), ("c", 1, 2), ("e", 1, -1), ("b", 2, 1)}
+    semi = [p for p in plans if "LeftSemi" in p]
+    assert semi and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p.split("LeftSemi")[0].rsplit("\n", 1)[-1] for p in semi)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
