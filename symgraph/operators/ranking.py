@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from symgraph.functions.names import is_test_file
 from symgraph.functions.terms import is_test_query
 from symgraph.operators.walk import walked
-from symgraph.plans.lineage import cut
+from symgraph.plans.lineage import cut, small
 
 ALPHA, ROUNDS = 0.25, 25
 KINDS = ("calls", "references", "imports", "extends", "implements", "contains", "instantiates", "tests")
@@ -132,15 +132,15 @@ def within_budget(clustered: DataFrame, budget: int, per_line: int = 60) -> Data
 def flow_chain(edges: DataFrame, named: DataFrame, depth: int = 8, bridge: int = 1) -> DataFrame:
     """(step, id): the longest way by calls from one named symbol (id) to another, of at least three symbols, with at most ``bridge`` others running between named ones.
 
-    Each level is one join of all named symbols' frontiers with the calls; a symbol is entered once from each start, by the way with the fewest others at its end, then by the ids on it.
+    Each level is one join of all named symbols' frontiers, broadcast if they are few, with the calls; a symbol is entered once from each start, by the way with the fewest others at its end, then by the ids on it.
     """
     names = cut(named.select("id").distinct())
     hop = edges.where("kind = 'calls' AND source <> target").select(F.col("source").alias("last"), F.col("target").alias("next"))
-    spots = names.select(F.col("id").alias("next"), F.lit(True).alias("_named"))
+    spots = small(names).select(F.col("id").alias("next"), F.lit(True).alias("_named"))
     frontier = names.select(F.col("id").alias("start"), F.col("id").alias("last"), F.lit(0).alias("streak"), F.array("id").alias("walk"))
     seen, best = cut(frontier.select("start", "last")), None
     for _ in range(depth - 1):
-        ahead = frontier.join(hop, "last").join(spots, "next", "left").select("start", F.col("next").alias("last"), F.when(F.col("_named"), 0).otherwise(F.col("streak") + 1).alias("streak"), F.concat("walk", F.array("next")).alias("walk"))
+        ahead = small(frontier).join(hop, "last").join(spots, "next", "left").select("start", F.col("next").alias("last"), F.when(F.col("_named"), 0).otherwise(F.col("streak") + 1).alias("streak"), F.concat("walk", F.array("next")).alias("walk"))
         ahead = ahead.where(F.col("streak") <= bridge).join(seen, ["start", "last"], "left_anti")
         frontier = cut(ahead.groupBy("start", "last").agg(F.min(F.struct("streak", "walk")).alias("b")).select("start", "last", "b.*"))
         found = frontier.where("streak = 0").agg(F.min("walk")).first()[0]

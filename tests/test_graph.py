@@ -377,6 +377,12 @@ def test_few_nodes_are_broadcast_to_the_edges(spark, monkeypatch, edges):
     assert semi and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p.split("LeftSemi")[0].rsplit("\n", 1)[-1] for p in semi)
 
 
+def test_flow_broadcasts_its_frontier(spark, monkeypatch, edges):
+    plans = _plans(monkeypatch, ranking)
+    assert [r.id for r in ranking.flow_chain(edges, spark.createDataFrame([("e",), ("b",), ("d",)], "id string")).orderBy("step").collect()] == ["e", "a", "b", "c", "d"]
+    assert any("BroadcastHashJoin [last" in p for p in plans) and not any("SortMergeJoin [last" in p for p in plans)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
