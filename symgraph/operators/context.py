@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from symgraph.functions.names import is_test_file
 from symgraph.functions.terms import is_test_query, query_symbols, search_terms, stems
 from symgraph.operators import graph, search
-from symgraph.plans.lineage import cut
+from symgraph.plans.lineage import cut, small
 
 TYPES = ("class", "interface", "struct", "trait", "protocol")
 TELLING = ("function", "method", *TYPES[:3], "type_alias", "trait", "component", "route", "variable", "constant", "enum", "module", "namespace")
@@ -88,14 +88,16 @@ def entry_points(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 3,
 
 def _around(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int, each: int, kinds: tuple[str, ...]) -> DataFrame:
     """(id): of each root the ``each`` nearest symbols of the kinds, both ways; all roots' frontiers go a step at a time together."""
-    allowed = nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("b"))
-    hop = graph.steps(edges, "both").join(allowed, "b", "left_semi")
+    allowed = nodes.where(F.col("kind").isin(*kinds)).select("id")
+    out, back = edges.select(F.col("source").alias("a"), F.col("target").alias("b")), edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
+    hop = out.unionByName(back).where("a <> b")
     seen = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
     frontier = seen
     for d in range(1, depth + 1):
-        ahead = frontier.join(hop, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
-        frontier = cut(ahead.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(d)))
-        seen = seen.unionByName(frontier)
+        ahead = cut(small(frontier).join(hop, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct())
+        ahead = ahead.join(allowed.join(small(ahead.select("id")), "id", "left_semi"), "id", "left_semi")
+        frontier = cut(ahead.join(seen, ["root", "id"], "left_anti").select("root", "id", F.lit(d).alias("depth")))
+        seen = seen.unionByName(frontier)  # root, id, depth
     near = seen.withColumn("_k", F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))).where(F.col("_k") <= each)
     return near.select("id").distinct()
 
@@ -113,8 +115,8 @@ def relevant_context(nodes: DataFrame, edges: DataFrame, query: str, limit: int
     of_type = roots.join(nodes.where(F.col("kind").isin(*TYPES)).select("id"), "id", "left_semi").select("id")
     lineage = [graph.levels(edges, of_type, way, ("extends", "implements")).where("depth > 0").select("id") for way in ("outgoing", "incoming")]
     family = lineage[0].unionByName(lineage[1]).distinct().orderBy("id").limit(max(1, most // 4))
-    ids = roots.select("id").unionByName(family).unionByName(_around(nodes, edges, roots, depth, max(1, most // max(1, n)), kinds)).distinct()
-    kept = nodes.join(ids, "id", "left_semi").join(roots.select("id", F.lit(True).alias("root")), "id", "left").withColumn("root", F.coalesce("root", F.lit(False)))
+    ids = cut(roots.select("id").unionByName(family).unionByName(_around(nodes, edges, roots, depth, max(1, most // max(1, n)), kinds)).distinct())
+    kept = nodes.join(small(ids), "id", "left_semi").join(roots.select("id", F.lit(True).alias("root")), "id", "left").withColumn("root", F.coalesce("root", F.lit(False)))
     worth = F.when(F.col("root"), 10).otherwise(0) + F.when(F.col("kind").isin(*TYPES, "enum"), 3).otherwise(0)
     kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy("file_path").orderBy(worth.desc(), "id"))).where(F.col("_k") <= max(5, most // 5)).drop("_k")
     if not is_test_query(query):
@@ -123,5 +125,6 @@ def relevant_context(nodes: DataFrame, edges: DataFrame, query: str, limit: int
         kept = kept.where(~test).unionByName(few)
     kept = cut(kept)
     among = edges.where(F.col("kind").isin(*RECOVERED, "contains"))
-    among = among.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(kept.select(F.col("id").alias("target")), "target", "left_semi")
+    few = small(kept)
+    among = among.join(few.select(F.col("id").alias("source")), "source", "left_semi").join(few.select(F.col("id").alias("target")), "target", "left_semi")
     return kept, among

@@ -383,6 +383,20 @@ def test_flow_broadcasts_its_frontier(spark, monkeypatch, edges):
     assert any("BroadcastHashJoin [last" in p for p in plans) and not any("SortMergeJoin [last" in p for p in plans)
 
 
+def test_context_makes_no_edges_distinct(spark, monkeypatch, edges):
+    from symgraph.operators import context
+
+    def none(*_):
+        raise AssertionError("all edges are shuffled")
+
+    monkeypatch.setattr(G, "steps", none)
+    plans = _plans(monkeypatch, context)
+    nodes = spark.createDataFrame([(x, "function", x, x, "p.py", "python", 1, 2, False) for x in "abcd"], NODE)
+    roots = spark.createDataFrame([("a",), ("d",)], "id string")
+    assert {r.id for r in context._around(nodes, edges, roots, 1, 5, ("function",)).collect()} == {"a", "b", "c", "d"}
+    assert any("BroadcastHashJoin [id" in p for p in plans) and not any("SortMergeJoin [id" in p and "[a#" in p for p in plans)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
