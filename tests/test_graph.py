@@ -397,6 +397,15 @@ def test_context_makes_no_edges_distinct(spark, monkeypatch, edges):
     assert any("BroadcastHashJoin [id" in p for p in plans) and not any("SortMergeJoin [id" in p and "[a#" in p for p in plans)
 
 
+def test_context_nodes_without_distinct_edges(spark, monkeypatch, edges):
+    from symgraph.operators import context
+
+    monkeypatch.setattr(G, "steps", lambda *_: 1 / 0)
+    nodes = spark.createDataFrame([(x, "function", f"name_{x}", x, "p.py", "python", 1, 2, False) for x in "abcd"], NODE)
+    kept = context.relevant_context(nodes, edges, "what does name_a do", 1, 1, 20)[0].collect()
+    assert {r.id for r in kept if r.root} == {"a"} and {"b", "c"} <= {r.id for r in kept}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
