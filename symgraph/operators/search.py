@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgraph.functions.names import LANGUAGES, basename, dirname, is_test_file, kind_bonus, name_bonus
-from symgraph.functions.stemming import porter, porter_words
+from symgraph.functions.stemming import porter, stem_counts
 from symgraph.functions.terms import is_test_query, plain_name, search_terms
 from symgraph.operators import lookup
 
@@ -119,17 +119,21 @@ def fts(rows: DataFrame, text: str, weights: dict[str, float], where: Column | N
         for c, h in zip(columns, hits, strict=True):
             any_, much = any_ + h, much + weights[c] * h
         counted = counted.withColumns({f"_n{k}": any_, f"_f{k}": much})
-    counted = counted.drop(*[f"_w{i}" for i in range(len(columns))])
-    total = counted.agg(F.count("*").alias("_rows"), F.avg("_size").alias("_mean"), *[F.count_if(F.col(f"_n{k}") > 0).alias(f"_d{k}") for k in range(len(phrases))])
+    return _scored(counted.drop(*[f"_w{i}" for i in range(len(columns))]), len(phrases), where).select(*rows.columns, "score")
+
+
+def _scored(counted: DataFrame, phrases: int, where: Column | None) -> DataFrame:
+    """Rows that have any phrase, with their score: of each row its words (_size), and of each phrase k how often it stands there (_n<k>), and by weight (_f<k>)."""
+    total = counted.agg(F.count("*").alias("_rows"), F.avg("_size").alias("_mean"), *[F.count_if(F.col(f"_n{k}") > 0).alias(f"_d{k}") for k in range(phrases)])
     score: Column = F.lit(0.0)
-    for k in range(len(phrases)):
+    for k in range(phrases):
         f, d = F.col(f"_f{k}"), F.col(f"_d{k}")
         idf = F.log((F.col("_rows") - d + 0.5) / (d + 0.5))
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_size") / F.col("_mean")))).otherwise(0.0)
-    hit = counted.where(" OR ".join(f"_n{k} > 0" for k in range(len(phrases))))
+    hit = counted.where(" OR ".join(f"_n{k} > 0" for k in range(phrases)))
     hit = hit.where(where) if where is not None else hit
-    return hit.crossJoin(F.broadcast(total)).withColumn("score", score).select(*rows.columns, "score")  # total is one row
+    return hit.crossJoin(F.broadcast(total)).withColumn("score", score)  # total is one row
 
 
 def search_fts(nodes: DataFrame, text: str, kinds: list[str] | None = None, languages: list[str] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -238,7 +242,11 @@ def by_exact_names(nodes: DataFrame, names: list[str], limit: int = 50, kinds: l
 
 def search_claims(claims: DataFrame, text: str, claim_type: str | None = None, limit: int = 20) -> DataFrame:
     """(id, claim_type, claim_text, score) of claims that have any of the words of text in any form that shares their stem, the best first."""
-    stemmed = claims.withColumn("_stems", porter_words("claim_text"))
-    asked = " ".join(" ".join(porter(w) for w in p) for p in match_terms(text))
+    phrases = [[porter(w) for w in p] for p in match_terms(text)]
     where = F.col("claim_type") == claim_type if claim_type else None
-    return fts(stemmed, asked, {"_stems": 1.0}, where).orderBy(F.desc("score"), "id").limit(limit).select("id", "claim_type", "claim_text", "score")
+    if not phrases:
+        return claims.limit(0).select("id", "claim_type", "claim_text", F.lit(0.0).alias("score"))
+    counts = stem_counts("claim_text", phrases)
+    hits = [F.col("_c")[f"n{k}"] for k in range(len(phrases))]
+    counted = claims.select("id", "claim_type", "claim_text", counts.alias("_c")).select("id", "claim_type", "claim_text", F.col("_c.size").alias("_size"), *[h.alias(f"_n{k}") for k, h in enumerate(hits)], *[h.cast("double").alias(f"_f{k}") for k, h in enumerate(hits)])
+    return _scored(counted, len(phrases), where).orderBy(F.desc("score"), "id").limit(limit).select("id", "claim_type", "claim_text", "score")

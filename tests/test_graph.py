@@ -462,6 +462,26 @@ def test_claims_as_sqlite_stems_them(spark):
     assert {r.claim_type for r in search.search_claims(claims, "archive", "a").collect()} == {"a"}
 
 
+def test_claims_stem_only_what_may_be_asked(spark):
+    import random
+    import re
+
+    from symgraph.functions import stemming
+
+    rnd, ends = random.Random(3), ("", "s", "es", "ies", "ed", "ing", "y", "ational", "tional", "enci", "ency", "anci", "izer", "abli", "ably", "alli", "entli", "ousli", "ization", "ation", "ator", "alism", "iveness", "fulness", "ousness", "aliti", "ality", "iviti", "ivity", "biliti", "bility", "logi", "icate", "ative", "alize", "iciti", "ical", "ful", "ness", "able", "ible", "ement", "ion", "ate", "e", "ll", "eed")
+    words = {"".join(rnd.choice("abeilnostrxyz") for _ in range(rnd.randrange(1, 7))) + rnd.choice(ends) + rnd.choice(ends) for _ in range(60_000)}
+    for w in words:
+        s = stemming.porter(w)
+        assert s and w.startswith(s[: max(0, len(s) - stemming.CHANGED)]), w
+    texts = [" ".join(rnd.choice(("licensed", "license", "Licensing_terms", "version", "versions", "conversion", "adverse", "open-sourced", "sources")) for _ in range(12)) for _ in range(30)] + [None, ""]
+    claims = spark.createDataFrame([(str(i), "a", t) for i, t in enumerate(texts)], "id string, claim_type string, claim_text string")
+    stems = [[stemming.porter(w) for w in re.findall(r"[^\W_]+", (t or "").lower())] for t in texts]
+    asked = [["licens"], ["open", "sourc"], ["version"]]
+    got = [tuple(r.c) for r in claims.select(stemming.stem_counts("claim_text", asked).alias("c")).collect()]
+    want = [(len(s), *(sum(s[i : i + len(p) - 1] == p[:-1] and s[i + len(p) - 1].startswith(p[-1]) for i in range(len(s) - len(p) + 1)) for p in asked)) for s in stems]
+    assert got == want
+
+
 def test_search_falls_back(spark):
     nodes = spark.createDataFrame([(i, k, n, q, f"src/{n}.py", "python", d, s) for i, k, n, q, d, s in SYMBOLS], "id string, kind string, name string, qualified_name string, file_path string, language string, docstring string, signature string")
     first = lambda q: [r.name for r in search.search(nodes, q, 3).orderBy(F.desc("score"), "id").collect()]
