@@ -155,9 +155,10 @@ def flow_chain(edges: DataFrame, named: DataFrame, depth: int = 8, bridge: int =
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, callers, files, test_files): how many symbols call or refer to each root, and from how many files, tests apart."""
-    e = edges.where("kind IN ('calls', 'references', 'imports')").join(roots.select(F.col("id").alias("target")), "target").select("target", "source").distinct()
-    users = e.join(nodes.select(F.col("id").alias("source"), "file_path"), "source").withColumn("_test", is_test_file(F.col("file_path")))
-    return users.groupBy(F.col("target").alias("root")).agg(F.count("*").alias("callers"), F.countDistinct(F.when(~F.col("_test"), F.col("file_path"))).alias("files"), F.countDistinct(F.when(F.col("_test"), F.col("file_path"))).alias("test_files"))
+    e = edges.where("kind IN ('calls', 'references', 'imports')").select("source", "target").join(roots.select(F.col("id").alias("target")), "target", "left_semi")
+    users = e.join(nodes.select(F.col("id").alias("source"), "file_path"), "source").repartition(max(8, -(-edges.count() // 1_000_000)), "target")  # all that follows is counted where it then is
+    per_file = users.groupBy("target", "source", "file_path").agg(F.lit(1).alias("_one")).groupBy("target", "file_path").agg(F.count("*").alias("_n")).withColumn("_test", is_test_file(F.col("file_path")))
+    return per_file.groupBy(F.col("target").alias("root")).agg(F.sum("_n").alias("callers"), F.count_if(~F.col("_test")).alias("files"), F.count_if(F.col("_test")).alias("test_files"))
 
 
 def unique_names(nodes: DataFrame, named: DataFrame, most: int = 3) -> DataFrame:

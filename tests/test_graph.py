@@ -406,6 +406,14 @@ def test_context_nodes_without_distinct_edges(spark, monkeypatch, edges):
     assert {r.id for r in kept if r.root} == {"a"} and {"b", "c"} <= {r.id for r in kept}
 
 
+def test_blast_radius_counts_once(spark):
+    nodes = spark.createDataFrame([(i, "function", i, i, p, "python", 1, 2, False) for i, p in [("r", "a.py"), ("u", "a.py"), ("v", "b.py"), ("w", "b.py"), ("t", "tests/test_b.py"), ("s", "a.py")]], NODE)
+    edges = spark.createDataFrame([("calls", "u", "r", 1), ("calls", "u", "r", 2), ("references", "u", "r", 3), ("calls", "v", "r", 1), ("calls", "w", "r", 1), ("calls", "t", "r", 1), ("calls", "t", "s", 1), ("contains", "v", "s", 1), ("calls", "gone", "s", 1)], EDGE)
+    got = ranking.blast_radius(nodes, edges, nodes.where("id IN ('r', 's')"))
+    assert {tuple(r) for r in got.collect()} == {("r", 4, 2, 1), ("s", 1, 0, 1)}
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()  # no row is multiplied to be counted
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
