@@ -108,14 +108,15 @@ def clusters(nodes: DataFrame, gap: int = 15, scores: DataFrame | None = None, e
     inside = gone.join(kept.select("file_path", "id", "start_line", "end_line"), "file_path").where("start_line >= lo AND end_line <= hi")  # a file has few envelopes of over half of it
     share = inside.groupBy("env").agg(F.count("*").alias("_n"))
     given = inside.where("_give > 0").join(share, "env").groupBy("id").agg(F.sum(F.col("_give") / F.col("_n")).alias("_got"))
-    ranges = kept.join(given, "id", "left").where("start_line > 0 AND end_line >= start_line").select("file_path", "start_line", "end_line", (F.col("score") + F.coalesce("_got", F.lit(0.0))).alias("score"), F.col("id").alias("_tie"), F.lit(1).alias("_symbol"))
+    ranges = kept.join(given, "id", "left").where("start_line > 0 AND end_line >= start_line").select("file_path", "start_line", "end_line", (F.col("score") + F.coalesce("_got", F.lit(0.0))).alias("score"), F.col("id").alias("_tie"), F.lit(1).alias("_symbol"), F.lit(1).cast("bigint").alias("_n"))
     if edges is not None:
-        used = edges.where("kind <> 'contains' AND line > 0").join(kept.select(F.col("id").alias("source"), "file_path"), "source").select("file_path", "line", "target").distinct()
-        ranges = ranges.unionByName(used.select("file_path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(POINT).alias("score"), F.concat(F.lit("~"), "target").alias("_tie"), F.lit(0).alias("_symbol")))
+        used = edges.where("kind <> 'contains' AND line > 0").select("source", "line", "target").join(kept.select(F.col("id").alias("source"), "file_path"), "source").select("file_path", "line", "target").distinct()
+        used = used.groupBy("file_path", "line").agg(F.count("*").alias("_n"))  # points of a line lie in the same cluster
+        ranges = ranges.unionByName(used.select("file_path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(POINT).alias("score"), F.lit("~").alias("_tie"), F.lit(0).alias("_symbol"), "_n"))
     w = Window.partitionBy("file_path").orderBy("start_line", "end_line", "_tie")
     reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.withColumn("_new", F.when(F.col("start_line") <= reach + gap, 0).otherwise(1)).withColumn("cluster", F.sum("_new").over(w))
-    out = ranges.groupBy("file_path", "cluster").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("_symbol").alias("symbols"), F.sum("score").alias("importance"), F.max("score").alias("best"))
+    out = ranges.groupBy("file_path", "cluster").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("_symbol").alias("symbols"), F.sum(F.col("score") * F.col("_n")).alias("importance"), F.max("score").alias("best"))
     outer = out.join(gone, "file_path").where("start_line BETWEEN lo AND hi").groupBy("file_path", "cluster").agg(F.min("lo").alias("_lo"))
     out = out.join(outer, ["file_path", "cluster"], "left").withColumn("start_line", F.coalesce("_lo", "start_line"))
     return out.select(*alone.columns).unionByName(alone)

@@ -414,6 +414,16 @@ def test_blast_radius_counts_once(spark):
     assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()  # no row is multiplied to be counted
 
 
+def test_points_of_a_line_are_one(spark):
+    nodes = spark.createDataFrame([("file:a.py", "file", "a.py", "a.py", "a.py", "python", 1, 200, False), ("f", "function", "f", "f", "a.py", "python", 1, 9, False), ("g", "function", "g", "g", "a.py", "python", 100, 120, False)], NODE)
+    edges = spark.createDataFrame([("calls", "f", f"x{k}", line) for k in range(50) for line in (5, 60)] + [("references", "f", "x1", 5), ("contains", "f", "x1", 150)], EDGE)
+    got = ranking.clusters(nodes, 15, None, edges)
+    assert sorted(tuple(r) for r in got.select("start_line", "end_line", "symbols", "importance", "best").collect()) == [(1, 9, 1, 100.0, 2.0), (60, 60, 0, 100.0, 2.0), (100, 120, 1, 0.0, 0.0)]
+    import re
+
+    assert re.search(r"keys=\[file_path#\d+, line#\d+\], functions=\[count\(1\)\]", got._jdf.queryExecution().executedPlan().toString())  # the windows have a row a line
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
